@@ -28,22 +28,31 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE,
             .select(*keys))
 
 
-def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[Column | str],
-              how: str = "inner", salts: int = SALTS, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Equi-join ``big`` with ``small`` where single keys of ``big`` may be hot.
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[Column | str],
+                hot: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Equi-join in which the rows of the ``hot`` keys are cut into slices.
 
-    ``spread`` are columns of ``big`` that differ between rows of one key.  Keys
-    below ``min_hot_rows`` rows are never salted.
+    ``hot`` must have a bounded number of rows (see ``hot_keys``).  ``spread``
+    are columns of ``big`` that differ between rows of one key.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys, min_rows=min_hot_rows).withColumn("is_hot", F.lit(True)))
+    marks = F.broadcast(hot.select(*keys).withColumn("is_hot", F.lit(True)))
     slice_of = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    left = (big.join(hot, keys, "left")
+    left = (big.join(marks, keys, "left")
             .withColumn("salt", F.when(F.col("is_hot"), slice_of).otherwise(F.lit(0)))
             .drop("is_hot"))
-    right = (small.join(hot, keys, "left")
+    right = (small.join(marks, keys, "left")
              .withColumn("salt", F.explode(
                  F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
                  .otherwise(F.array(F.lit(0)))))
              .drop("is_hot"))
     return left.join(right, [*keys, "salt"], how).drop("salt")
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[Column | str],
+              how: str = "inner", salts: int = SALTS, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """``salted_join`` that finds the hot keys of ``big`` itself.
+
+    Keys below ``min_hot_rows`` rows are never salted.
+    """
+    return salted_join(big, small, keys, spread, hot_keys(big, list(keys), min_rows=min_hot_rows), how, salts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow import constants as K
+from canopyflow.operators.skew import skew_join
 
 EVENT_COUNTS = {"logins": "login", "clicks": "click", "analyses": "analyze",
                 "vectorizations": "vectorize", "calibrations": "calibrate"}
@@ -47,22 +48,22 @@ def clicks_with_target(events: DataFrame) -> DataFrame:
 
 def valid_sessions(sessions: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     """Sessions of active users that have not expired at ``as_of``."""
-    return (sessions.where(F.col("expires_at") >= as_of)
-            .join(users.where("active").select("user_id", "username", "role"), "user_id")
+    open_sessions = sessions.where(F.col("expires_at") >= as_of)
+    active = users.where("active").select("user_id", "username", "role")
+    return (skew_join(open_sessions, active, ["user_id"], spread=["token"])
             .select("token", "user_id", "username", "role", "expires_at"))
 
 
 def attribute_events(events: DataFrame, valid: DataFrame) -> DataFrame:
     """User name per event through its session token, ``anon`` without a valid one.
 
-    Tokens are unique on the session side.  Events without any token take no
-    part in the join, so they cannot pile up on one key.
+    One session may produce a large share of all events, hence the skew join.
+    Events without a token are given a key of their own and match nothing.
     """
-    lookup = valid.select("token", F.col("username").alias("session_user"))
-    # a null token matches nothing; give each such row a key of its own
-    key = F.coalesce(F.col("token"), F.concat(F.lit("\u0000"), F.col("id").cast("string")))
-    joined = (events.drop("username").withColumn("join_token", key)
-              .join(lookup.withColumnRenamed("token", "join_token"), "join_token", "left"))
+    lookup = valid.select(F.col("token").alias("join_token"), F.col("username").alias("session_user"))
+    key = F.coalesce(F.col("token"), F.concat(F.lit("no-token:"), F.col("id").cast("string")))
+    joined = skew_join(events.drop("username").withColumn("join_token", key), lookup,
+                       ["join_token"], spread=["id"], how="left")
     return joined.withColumn("username", F.coalesce("session_user", F.lit("anon"))).drop("session_user", "join_token")
 
 
@@ -132,4 +133,4 @@ def totals(events: DataFrame, as_of: Column) -> DataFrame:
 def sessions_after_password_change(sessions: DataFrame, users: DataFrame, changed: DataFrame) -> DataFrame:
     """Drop every session of the accounts named in ``changed(username)``."""
     ids = users.join(changed, "username", "left_semi").select("user_id")
-    return sessions.join(ids, "user_id", "left_anti")
+    return skew_join(sessions, ids, ["user_id"], spread=["token"], how="left_anti")

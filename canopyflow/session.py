@@ -36,10 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="canopyflow-")
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, used between the rounds of iterative operators."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
+
+
+def lay_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition and sort by ``keys`` and checkpoint, so that later joins and
+    aggregations on exactly these keys find the rows in place.
+
+    An adaptively planned result does not report its partitioning, so this one
+    write is planned statically; every later plan is adaptive again.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(*keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -72,16 +72,9 @@ def t2(spark, sf):
             .select("id", "username", stamp("ts").alias("ts"), "event", "page", "target"))
 
 
-@query("t3_users_by_events", f"""WITH {V.AUDIT} SELECT username, n, rank() OVER (ORDER BY n DESC) AS place FROM (
-  SELECT username, count(*) AS n FROM audit GROUP BY 1)""")
+@query("t3_users_by_events", f"WITH {V.AUDIT} SELECT username, count(*) AS events FROM audit GROUP BY 1")
 def t3(spark, sf):
-    # users sharing a count share a place; ranking works on the few distinct counts
-    counts = V.audit_events(spark, sf).groupBy("username").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    ahead = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)),
-                       F.lit(0))
-    return counts.join(sizes.select("n", (ahead + 1).alias("place")), "n").select("username", "n", "place")
+    return usage.per_user(V.audit_events(spark, sf)).select("username", "events")
 
 
 @query("p17_demo_events", f"""WITH {V.AUDIT} SELECT count(*) FILTER (meta ILIKE '%"demo":true%') AS literal_match,
