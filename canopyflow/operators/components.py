@@ -17,31 +17,39 @@ from canopyflow.operators.skew import HOT_SHARE, MIN_HOT_ROWS, salted_join
 from canopyflow.session import cut_lineage
 
 
-def _with_smallest(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Edges ``u -> v`` with the smallest neighbour of ``u``; hubs are spread."""
+def _with_smallest(edges: DataFrame, keys: Sequence[str], n_edges: int) -> DataFrame:
+    """Edges ``u -> v`` with the smallest neighbour of ``u``; hubs are spread.
+
+    At most ``HOT_SHARE`` nodes can be hubs, and below ``MIN_HOT_ROWS`` edges none.
+    """
     node = [*keys, "u"]
     smallest = edges.groupBy(*node).agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("degree"))
-    total = edges.agg(F.count(F.lit(1))).scalar()
-    hubs = smallest.where(F.col("degree") * HOT_SHARE > F.greatest(total, F.lit(HOT_SHARE * MIN_HOT_ROWS)))
+    if n_edges <= MIN_HOT_ROWS:
+        return edges.join(smallest.drop("degree"), node)
+    hubs = smallest.where(F.col("degree") > max(n_edges // HOT_SHARE, MIN_HOT_ROWS))
     return salted_join(edges, smallest.drop("degree"), node, ["v"], hubs.select(*node))
 
 
-def _large_star(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _large_star(edges: DataFrame, keys: Sequence[str], n_edges: int) -> DataFrame:
     both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-    known = _with_smallest(both, keys)
+    known = _with_smallest(both, keys, 2 * n_edges)
     return (known.where(F.col("v") > F.col("u"))
             .select(*keys, F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct())
 
 
-def _small_star(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _small_star(edges: DataFrame, keys: Sequence[str], n_edges: int) -> DataFrame:
     """Expects edges from larger to smaller nodes."""
-    known = _with_smallest(edges, keys)
+    known = _with_smallest(edges, keys, n_edges)
     links = known.select(*keys, F.inline(F.array(
         F.struct(F.col("v").alias("u"), F.col("low").alias("v")),
         F.struct(F.col("u").alias("u"), F.col("low").alias("v")))))
     return links.where(F.col("u") > F.col("v")).distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first())
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str],
                          max_rounds: int = 60) -> DataFrame:
     """``nodes(keys, node)`` with ``label``, the smallest node of each component.
@@ -51,13 +59,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
     keys = list(keys)
     current = cut_lineage(edges.where(F.col("a") != F.col("b"))
                           .select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state = _state(current)
     for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current, keys), keys))
-        seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
-        if seen == state:
+        n_edges = state[0]
+        wide = cut_lineage(_large_star(current, keys, n_edges))
+        current = cut_lineage(_small_star(wide, keys, 2 * n_edges))
+        before, state = state, _state(current)
+        if state == before:
             break
-        state = seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = current.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))

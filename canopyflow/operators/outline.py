@@ -19,6 +19,7 @@ from canopyflow.functions.geodesy import unproject
 from canopyflow.functions.numbers import half_up
 from canopyflow.operators.regions import MASK, boundary_segments, region_sizes
 from canopyflow.operators.skew import skew_join
+from canopyflow.session import cut_lineage
 
 TOLERANCE_DEG = 0.0001
 RINGS_TYPE = "array<array<array<double>>>"
@@ -94,7 +95,7 @@ def outline_regions(labelled: DataFrame, grids: DataFrame, keys: Sequence[str] =
     """
     keys = list(keys)
     columns = ["parcel_id", "origin_x", "origin_y", "res", "zone", "south"]
-    segments = skew_join(boundary_segments(labelled, keys), grids.select(*columns), ["parcel_id"],
+    segments = skew_join(cut_lineage(boundary_segments(labelled, keys)), grids.select(*columns), ["parcel_id"],
                          spread=["xa", "ya", "xb", "yb"])
     head = labelled.select(*keys, "region_id").schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + f", rings {RINGS_TYPE}"

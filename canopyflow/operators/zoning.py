@@ -2,8 +2,9 @@
 
 All values are integers in 1e-7 units and centres are rounded to that unit, so
 squared distances and sums are exact and the zones do not depend on partitioning.
-A parcel is cut into slices of bounded size when the pixel matrix is laid out.
-The matrix never moves again: in every round only the centres travel.
+A parcel is cut into square blocks when its pixels are laid out, so no task
+depends on the size of a parcel.  The pixels never move again: in every round
+only the centres travel.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ from pyspark.sql import functions as F
 
 from canopyflow import constants as K
 from canopyflow.functions.numbers import E4, E7
-from canopyflow.operators.skew import skew_join
 from canopyflow.schemas import MONTH_COLS, MONTHS
-from canopyflow.session import cut_lineage, lay_out
+from canopyflow.session import cut_lineage, keep_layout, lay_out
 
 MAX_ZONES = 7
-SLICE_PIXELS = 50_000
+BLOCK_SIDE = 256
 
 
 def zone_count(n_pixels: Column, res: float) -> Column:
@@ -30,46 +30,49 @@ def zone_count(n_pixels: Column, res: float) -> Column:
     return F.when(n_pixels < K.MIN_PIXELS_ZONING, F.lit(1)).otherwise(capped)
 
 
-def parcel_means(composite: DataFrame) -> DataFrame:
-    """Pixel count and mean per month of every parcel; empty months get the default."""
-    default = int(K.MISSING_MONTH_VALUE * E7)
-    exact = [F.coalesce(F.floor(F.try_divide(F.sum(c), F.count(c)) + 0.5).cast("bigint"),
-                        F.lit(default).cast("bigint")).alias(f"fill{m}") for m, c in zip(MONTHS, MONTH_COLS)]
-    return composite.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n_pixels"), *exact)
+def place(composite: DataFrame) -> DataFrame:
+    """Composite pixels laid out by parcel and block of 256 x 256 cells."""
+    block = F.floor(F.col("py") / BLOCK_SIDE) * 65536 + F.floor(F.col("px") / BLOCK_SIDE)
+    return lay_out(composite.withColumn("block", block.cast("bigint")), "parcel_id", "block")
 
 
-def impute(composite: DataFrame, means: DataFrame | None = None) -> DataFrame:
+def parcel_means(placed: DataFrame) -> DataFrame:
+    """Per parcel: pixel count, blocks, and the mean of every month.
+
+    Empty months get the default value.  A capped grid has at most 16 blocks.
+    """
+    default = F.lit(int(K.MISSING_MONTH_VALUE * E7)).cast("bigint")
+    fills = [F.coalesce(F.floor(F.try_divide(F.sum(c), F.count(c)) + 0.5).cast("bigint"), default).alias(f"fill{m}")
+             for m, c in zip(MONTHS, MONTH_COLS)]
+    return placed.groupBy("parcel_id").agg(
+        F.count(F.lit(1)).alias("n_pixels"), F.collect_set("block").alias("blocks"), *fills)
+
+
+def impute(placed: DataFrame) -> DataFrame:
     """Fill missing months with the parcel mean; ``known`` keeps one bit per real month."""
-    means = parcel_means(composite) if means is None else means
-    joined = skew_join(composite, means, ["parcel_id"], spread=["px", "py"])
+    joined = attach(placed, parcel_means(placed))
     known = F.lit(0)
     for m, c in zip(MONTHS, MONTH_COLS):
         known = known + F.when(F.col(c).isNotNull(), 1 << (m - 1)).otherwise(0)
     filled = [F.coalesce(F.col(c), F.col(f"fill{m}")).alias(c) for m, c in zip(MONTHS, MONTH_COLS)]
-    return joined.select("parcel_id", "px", "py", *filled, known.alias("known"), "n_pixels")
+    return joined.select("parcel_id", "block", "px", "py", *filled, known.alias("known"), "n_pixels")
 
 
 def pixel_matrix(composite: DataFrame, res: float = 10.0, zones: int | None = None) -> DataFrame:
-    """Imputed pixel vectors laid out by parcel and slice, ready for the rounds."""
-    filled = impute(composite)
+    """Imputed pixel vectors laid out by parcel and block, ready for the rounds."""
     k = F.lit(zones) if zones else zone_count(F.col("n_pixels"), res)
-    slices = F.ceil(F.col("n_pixels") / F.lit(SLICE_PIXELS)).cast("int")
-    sliced = filled.withColumns({
-        "k": F.least(k, F.col("n_pixels")).cast("int"),
-        "slices": slices,
-        "slice": F.pmod(F.xxhash64("px", "py"), slices).cast("int"),
-    })
-    return lay_out(sliced, "parcel_id", "slice")
+    filled = impute(place(composite))
+    return keep_layout(filled.withColumn("k", F.least(k, F.col("n_pixels")).cast("int")))
 
 
-def per_slice(per_parcel: DataFrame) -> DataFrame:
-    """Repeat a parcel row once per slice of that parcel."""
-    return per_parcel.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+def per_block(per_parcel: DataFrame) -> DataFrame:
+    """Repeat a parcel row once per block of that parcel."""
+    return per_parcel.withColumn("block", F.explode("blocks")).drop("blocks")
 
 
-def attach(matrix: DataFrame, per_parcel: DataFrame) -> DataFrame:
-    """Join parcel-level columns onto pixels without moving the pixels."""
-    return matrix.join(per_slice(per_parcel), ["parcel_id", "slice"])
+def attach(pixels: DataFrame, per_parcel: DataFrame) -> DataFrame:
+    """Join parcel-level columns onto laid-out pixels without moving the pixels."""
+    return pixels.join(per_block(per_parcel), ["parcel_id", "block"])
 
 
 def _distance(j: int) -> Column:
@@ -96,7 +99,7 @@ def _nearest(most: int) -> Column:
 
 def assign(matrix: DataFrame, centres: DataFrame, most: int = MAX_ZONES) -> DataFrame:
     """Zone of the nearest centre for every pixel, the first one on ties."""
-    near = _with_distances(attach(matrix, centres.select("parcel_id", "slices", "centres")), most)
+    near = _with_distances(attach(matrix, centres.select("parcel_id", "blocks", "centres")), most)
     return near.withColumn("zone_id", _nearest(most)).drop("centres", *[f"d{j}" for j in range(most)])
 
 
@@ -111,13 +114,13 @@ def first_centres(matrix: DataFrame, most: int = MAX_ZONES) -> DataFrame:
     """
     vector = [F.col(c) for c in MONTH_COLS]
     centre = matrix.groupBy("parcel_id").agg(
-        F.first("k").alias("k"), F.first("slices").alias("slices"),
+        F.first("k").alias("k"), F.collect_set("block").alias("blocks"),
         F.array(*[F.floor(F.sum(c) / F.count(c) + 0.5) for c in MONTH_COLS]).alias("centres"))
     centre = cut_lineage(centre)
     for j in range(most):
         wanted = centre if j == 0 else centre.where(F.col("k") > j)
         seen = max(j, 1)
-        far = _with_distances(attach(matrix, wanted.select("parcel_id", "slices", "centres")), seen)
+        far = _with_distances(attach(matrix, wanted.select("parcel_id", "blocks", "centres")), seen)
         dmin = F.expr(_closest(seen))
         pick = F.max(F.struct(dmin.alias("d"), (-F.col("py")).alias("y"), (-F.col("px")).alias("x"),
                               F.array(*vector).alias("v"))).alias("pick")
@@ -125,7 +128,7 @@ def first_centres(matrix: DataFrame, most: int = MAX_ZONES) -> DataFrame:
         grown = (F.col("v") if j == 0 else F.when(F.col("v").isNull(), F.col("centres"))
                  .otherwise(F.concat("centres", "v")))
         centre = cut_lineage(centre.join(chosen, "parcel_id", "left").select(
-            "parcel_id", "k", "slices", grown.alias("centres")))
+            "parcel_id", "k", "blocks", grown.alias("centres")))
     return centre
 
 
@@ -139,8 +142,8 @@ def lloyd_step(matrix: DataFrame, centres: DataFrame, most: int = MAX_ZONES) ->
     moved = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.coalesce(
         F.try_element_at("fresh", j), F.slice("centres", j * 12 + 1, 12))))
     return (centres.join(fresh, "parcel_id")
-            .select("parcel_id", "k", "slices", moved.alias("next"), "centres")
-            .select("parcel_id", "k", "slices", F.col("next").alias("centres"),
+            .select("parcel_id", "k", "blocks", moved.alias("next"), "centres")
+            .select("parcel_id", "k", "blocks", F.col("next").alias("centres"),
                     (F.col("next") != F.col("centres")).alias("moved")))
 
 
@@ -159,7 +162,7 @@ def fit_zones(matrix: DataFrame, rounds: int = 25, most: int = MAX_ZONES) -> Dat
         active = stepped.where("moved")
         if active.isEmpty():
             break
-    return finished.unionByName(active).select("parcel_id", "k", "slices", "centres")
+    return finished.unionByName(active).select("parcel_id", "k", "blocks", "centres")
 
 
 def segment(matrix: DataFrame, rounds: int = 25) -> DataFrame:
@@ -200,15 +203,15 @@ def zone_series(profiles: DataFrame, start_year: Column) -> DataFrame:
             .select("parcel_id", "zone_id", season_mid_month("start_year", "month").alias("obs_date"), "ndvi"))
 
 
-def class_pixels(matrix_zoned: DataFrame, zone_classes: DataFrame) -> DataFrame:
+def class_pixels(zoned: DataFrame, zone_classes: DataFrame) -> DataFrame:
     """Class of every pixel through its zone.
 
-    Zone classes travel as one small map per parcel and slice, so pixels stay put.
+    Zone classes travel as one small map per parcel and block, so pixels stay put.
     """
     maps = zone_classes.groupBy("parcel_id").agg(F.map_from_entries(
         F.collect_list(F.struct("zone_id", "zone_class"))).alias("by_zone"))
-    slices = matrix_zoned.groupBy("parcel_id").agg(F.first("slices").alias("slices"))
-    joined = attach(matrix_zoned.drop("slices"), maps.join(slices, "parcel_id"))
+    blocks = zoned.groupBy("parcel_id").agg(F.collect_set("block").alias("blocks"))
+    joined = attach(zoned, maps.join(blocks, "parcel_id"))
     return (joined.withColumn("class", F.try_element_at("by_zone", F.col("zone_id")))
             .select("parcel_id", "px", "py", "zone_id", "class"))
 

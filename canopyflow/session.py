@@ -47,7 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def lay_out(df: DataFrame, *keys: str) -> DataFrame:
     """Partition and sort by ``keys`` and checkpoint, so that later joins and
-    aggregations on exactly these keys find the rows in place.
+    aggregations on exactly these keys find the rows in place."""
+    return keep_layout(df.repartition(*keys).sortWithinPartitions(*keys))
+
+
+def keep_layout(df: DataFrame) -> DataFrame:
+    """Checkpoint that still reports how the rows are partitioned and sorted.
 
     An adaptively planned result does not report its partitioning, so this one
     write is planned statically; every later plan is adaptive again.
@@ -56,6 +61,6 @@ def lay_out(df: DataFrame, *keys: str) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut_lineage(df.repartition(*keys).sortWithinPartitions(*keys))
+        return cut_lineage(df)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)

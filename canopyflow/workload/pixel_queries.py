@@ -97,7 +97,7 @@ def a7(spark, sf):
 
 @query("a11_imputed_pixels", f"WITH {S.IMPUTED} SELECT parcel_id, px, py, {MONTHS_SQL}, known FROM imputed")
 def a11(spark, sf):
-    return zoning.impute(composite(spark, sf)).drop("n_pixels")
+    return zoning.impute(zoning.place(composite(spark, sf))).drop("n_pixels", "block")
 
 
 @query("f13_zone_count", f"""WITH {S.IMPUTED}, scaled AS (SELECT parcel_id, n_pixels, s, n_pixels * s AS n FROM means
@@ -106,7 +106,7 @@ SELECT parcel_id, n, CASE WHEN n < 50 THEN 1 ELSE least(CASE WHEN n * 0.01::DOUB
   WHEN n * 0.01::DOUBLE < 300 THEN 4 WHEN n * 0.01::DOUBLE < 800 THEN 5 WHEN n * 0.01::DOUBLE < 2000 THEN 6 ELSE 7 END,
   greatest(2, n // 200)) END AS zones FROM scaled""")
 def f13(spark, sf):
-    scaled = zoning.parcel_means(composite(spark, sf)).select(
+    scaled = zoning.parcel_means(zoning.place(composite(spark, sf))).select(
         "parcel_id", F.explode(F.array(*[F.col("n_pixels") * s for s in (1, 30, 120, 800, 3000)])).alias("n"))
     return scaled.withColumn("zones", zoning.zone_count(F.col("n"), RES))
 
@@ -122,10 +122,11 @@ def r1_step(spark, sf):
     matrix = zoning.pixel_matrix(composite(spark, sf), RES, zones=3)
     first = F.min(F.struct("py", "px", F.array(*MONTH_COLS).alias("v"))).alias("pick")
     seeds = (matrix.groupBy("parcel_id", F.expr("px div 10").alias("zone_id"))
-             .agg(first, F.first("k").alias("k"), F.first("slices").alias("slices"))
-             .groupBy("parcel_id", "k", "slices")
-             .agg(F.sort_array(F.collect_list(F.struct("zone_id", "pick.v"))).alias("s"))
-             .select("parcel_id", "k", "slices", F.flatten("s.v").alias("centres")))
+             .agg(first, F.first("k").alias("k"), F.collect_set("block").alias("b"))
+             .groupBy("parcel_id", "k")
+             .agg(F.sort_array(F.collect_list(F.struct("zone_id", "pick.v"))).alias("s"),
+                  F.array_distinct(F.flatten(F.collect_list("b"))).alias("blocks"))
+             .select("parcel_id", "k", "blocks", F.flatten("s.v").alias("centres")))
     step = zoning.lloyd_step(matrix, seeds, 3)
     parts = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("k") - 1),
                                      lambda j: F.slice("centres", j * 12 + 1, 12)))
