@@ -166,9 +166,9 @@ def fit_zones(matrix: DataFrame, rounds: int = 25, most: int = MAX_ZONES) -> Dat
 
 
 def segment(matrix: DataFrame, rounds: int = 25) -> DataFrame:
-    """Pixels with their zone."""
+    """Pixels with their zone, written once because profiles, masks and statistics all read them."""
     most = largest_zone_count(matrix)
-    return assign(matrix, fit_zones(matrix, rounds, most), most)
+    return keep_layout(assign(matrix, fit_zones(matrix, rounds, most), most))
 
 
 def zone_profiles(zoned: DataFrame) -> DataFrame:

@@ -1,6 +1,12 @@
 """All registered queries; importing the modules fills the registry."""
 
-from canopyflow.workload import pixel_queries, series_queries, usage_queries  # noqa: F401
+from canopyflow.workload import (  # noqa: F401
+    parcel_queries,
+    pixel_queries,
+    series_queries,
+    smoothing_queries,
+    usage_queries,
+)
 from canopyflow.workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
