@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow import constants as K
@@ -115,41 +115,44 @@ def outline_regions(labelled: DataFrame, grids: DataFrame, keys: Sequence[str] =
     return segments.groupBy(*keys, "region_id").applyInPandas(build, schema)
 
 
-def region_table(labelled: DataFrame, classes: DataFrame, res: float, min_area_ha: float) -> DataFrame:
+def _hectares(pixels: Column) -> Column:
+    return pixels * F.col("res") * F.col("res") / F.lit(10_000.0)
+
+
+def region_table(labelled: DataFrame, classes: DataFrame, grids: DataFrame, min_area_ha: float) -> DataFrame:
     """Regions with area, label and colour; those under the minimum area are left out.
 
     ``classes`` is the fixed class dimension (seven rows), so it is broadcast;
     an unknown class takes label and colour of the last one.
     """
     other = next(row for row in K.LAND_USE_CLASSES if row[0] == K.OTHER)
-    area = F.col("n_px") * F.lit(res * res / 10_000)
-    return (region_sizes(labelled).withColumn("exact_ha", area).where(F.col("exact_ha") >= min_area_ha)
+    return (region_sizes(labelled).join(grids.select("parcel_id", "res"), "parcel_id")
+            .withColumn("exact_ha", _hectares(F.col("n_px"))).where(F.col("exact_ha") >= min_area_ha)
             .join(F.broadcast(classes), "class", "left")
             .withColumns({"label": F.coalesce("label", F.lit(other[1])),
                           "colour": F.coalesce("colour", F.lit(other[2])),
                           "class_ord": F.coalesce("class_ord", F.lit(len(K.LAND_USE_CLASSES))),
                           "area_ha": half_up("exact_ha", 1)})
-            .drop("exact_ha"))
+            .drop("exact_ha", "res"))
 
 
-def class_statistics(cleaned: DataFrame, regions: DataFrame, res: float) -> DataFrame:
+def class_statistics(cleaned: DataFrame, regions: DataFrame, grids: DataFrame) -> DataFrame:
     """Area per class from the cleaned pixels and its number of polygons."""
     area = (cleaned.groupBy("parcel_id", "class").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n_px"))
-            .withColumn("area_ha", half_up(F.col("n_px") * F.lit(res * res / 10_000), 1)))
+            .join(grids.select("parcel_id", "res"), "parcel_id")
+            .withColumn("area_ha", half_up(_hectares(F.col("n_px")), 1)).drop("res"))
     polygons = regions.groupBy("parcel_id", "class").agg(F.count(F.lit(1)).alias("n_polygons"))
     return (area.join(polygons, ["parcel_id", "class"], "left")
             .withColumn("n_polygons", F.coalesce("n_polygons", F.lit(0))))
 
 
-def parcel_totals(property_px: DataFrame, statistics: DataFrame, res: float) -> DataFrame:
+def parcel_totals(property_px: DataFrame, statistics: DataFrame, grids: DataFrame) -> DataFrame:
     """Total area, corn area and share, and region count per parcel."""
     by_parcel = statistics.groupBy("parcel_id").agg(
         F.coalesce(F.sum(F.when(F.col("class") == K.CORN, F.col("area_ha"))), F.lit(0.0)).alias("corn_ha"),
         F.sum("n_polygons").alias("n_regions"))
-    exact = F.col("n_px") * F.lit(res * res / 10_000)
-    return (property_px.join(by_parcel, "parcel_id", "left")
-            .select("parcel_id", F.col("n_px"), half_up(exact, 1).alias("total_ha"),
-                    F.coalesce("corn_ha", F.lit(0.0)).alias("corn_ha"),
-                    F.when(exact > 0, half_up(F.lit(100.0) * F.coalesce("corn_ha", F.lit(0.0)) / exact, 1))
-                    .otherwise(0.0).alias("corn_pct"),
+    corn, exact = F.coalesce("corn_ha", F.lit(0.0)), _hectares(F.col("n_px"))
+    return (property_px.join(grids.select("parcel_id", "res"), "parcel_id").join(by_parcel, "parcel_id", "left")
+            .select("parcel_id", "n_px", half_up(exact, 1).alias("total_ha"), corn.alias("corn_ha"),
+                    F.when(exact > 0, half_up(F.lit(100.0) * corn / exact, 1)).otherwise(0.0).alias("corn_pct"),
                     F.coalesce("n_regions", F.lit(0)).alias("n_regions")))

@@ -104,7 +104,7 @@ def region_sizes(labelled: DataFrame, keys: Sequence[str] = tuple(MASK)) -> Data
         F.sum(F.col("x1") - F.col("x0") + 1).alias("n_px"), *extra)
 
 
-def sieve(runs: DataFrame, grids: DataFrame, min_px: int, keys: Sequence[str] = tuple(MASK)) -> DataFrame:
+def sieve(runs: DataFrame, grids: DataFrame, min_area_ha: float, keys: Sequence[str] = tuple(MASK)) -> DataFrame:
     """Mask runs after small regions of either value took over their largest neighbour's value.
 
     A small region whose largest neighbour is small too follows that neighbour's
@@ -112,10 +112,11 @@ def sieve(runs: DataFrame, grids: DataFrame, min_px: int, keys: Sequence[str] =
     longer cycles cannot occur because neighbours are compared by (size, id).
     """
     keys = list(keys)
+    limits = grids.select("parcel_id", min_region_pixels(F.lit(min_area_ha), F.col("res")).alias("min_px"))
     node = [*keys, "region_id"]
     labelled = label_regions(full_grid_runs(runs, grids, keys), keys, diagonal=True)
-    sizes = region_sizes(labelled, keys)
-    small = sizes.where(F.col("n_px") < min_px)
+    sizes = region_sizes(labelled, keys).join(limits, "parcel_id").withColumn("small", F.col("n_px") < F.col("min_px"))
+    small = sizes.where("small")
 
     vertical = _touching(labelled, keys, True, ["region_id", "value"]).where(F.col("value_a") != F.col("value_b"))
     beside = labelled.select(*keys, "py", (F.col("x1") + 1).alias("x"), F.col("region_id").alias("region_id_a")).join(
@@ -127,12 +128,12 @@ def sieve(runs: DataFrame, grids: DataFrame, min_px: int, keys: Sequence[str] =
         F.struct(F.col("region_id_b").alias("region_id"), F.col("region_id_a").alias("other"))))).distinct()
     around = both.join(small.select(*node), node, "left_semi")
     # the background touches most specks, so its key is hot
-    other_sizes = sizes.select(*keys, F.col("region_id").alias("other"), F.col("n_px").alias("other_px"))
+    other_sizes = sizes.select(*keys, F.col("region_id").alias("other"), F.col("n_px").alias("other_px"), "small")
     ranked = skew_join(around, other_sizes, [*keys, "other"], spread=["region_id"])
     # same size: the smaller region id wins
     choice = ranked.groupBy(*node).agg(
-        F.max(F.struct(F.col("other_px").alias("px"), (-F.col("other")).alias("neg"))).alias("top"))
-    target = cut_lineage(choice.select(*node, (-F.col("top.neg")).alias("target"), (F.col("top.px") >= min_px).alias("done")))
+        F.max(F.struct(F.col("other_px").alias("px"), (-F.col("other")).alias("neg"), "small")).alias("top"))
+    target = cut_lineage(choice.select(*node, (-F.col("top.neg")).alias("target"), (~F.col("top.small")).alias("done")))
 
     # follow the choices: every round doubles the distance looked ahead
     mutual = target.alias("t").join(
@@ -222,8 +223,8 @@ def boundary_segments(labelled: DataFrame, keys: Sequence[str] = tuple(MASK)) ->
     return top.unionByName(bottom).unionByName(left).unionByName(right)
 
 
-def min_region_pixels(min_area_ha: float, res: float) -> int:
-    return max(2, int(min_area_ha * 10_000 / (res * res)))
+def min_region_pixels(min_area_ha: Column, res: Column) -> Column:
+    return F.greatest(F.lit(2).cast("bigint"), F.floor(min_area_ha * 10_000 / (res * res)).cast("bigint"))
 
 
 def top_regions(regions: DataFrame, limit: int = K.MAX_FEATURES) -> DataFrame:

@@ -54,17 +54,21 @@ def valid_sessions(sessions: DataFrame, users: DataFrame, as_of: Column) -> Data
             .select("token", "user_id", "username", "role", "expires_at"))
 
 
-def attribute_events(events: DataFrame, valid: DataFrame) -> DataFrame:
+def attribute_events(events: DataFrame, valid: DataFrame, at: str | None = None) -> DataFrame:
     """User name per event through its session token, ``anon`` without a valid one.
 
+    ``at`` names an event time that must not lie after the session's expiry.
     One session may produce a large share of all events, hence the skew join.
     Events without a token are given a key of their own and match nothing.
     """
-    lookup = valid.select(F.col("token").alias("join_token"), F.col("username").alias("session_user"))
+    lookup = valid.select(F.col("token").alias("join_token"), F.col("username").alias("session_user"),
+                          *(["expires_at"] if at else []))
     key = F.coalesce(F.col("token"), F.concat(F.lit("no-token:"), F.col("id").cast("string")))
     joined = skew_join(events.drop("username").withColumn("join_token", key), lookup,
                        ["join_token"], spread=["id"], how="left")
-    return joined.withColumn("username", F.coalesce("session_user", F.lit("anon"))).drop("session_user", "join_token")
+    name = F.when(F.col("expires_at") >= F.col(at), F.col("session_user")) if at else F.col("session_user")
+    named = joined.withColumn("username", F.coalesce(name, F.lit("anon")))
+    return named.drop("session_user", "join_token", *(["expires_at"] if at else []))
 
 
 def user_summary(users: DataFrame, events: DataFrame) -> DataFrame:

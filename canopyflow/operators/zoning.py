@@ -21,9 +21,9 @@ MAX_ZONES = 7
 BLOCK_SIDE = 256
 
 
-def zone_count(n_pixels: Column, res: float) -> Column:
+def zone_count(n_pixels: Column, res: Column) -> Column:
     """Number of zones by parcel size; a single one when there are few pixels."""
-    area = n_pixels * F.lit(res * res / 10_000)
+    area = n_pixels * res * res / F.lit(10_000.0)
     by_area = (F.when(area < 100, 3).when(area < 300, 4).when(area < 800, 5)
                .when(area < 2000, 6).otherwise(7))
     capped = F.least(by_area, F.greatest(F.lit(2), F.floor(n_pixels / 200).cast("int")))
@@ -48,21 +48,24 @@ def parcel_means(placed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_pixels"), F.collect_set("block").alias("blocks"), *fills)
 
 
-def impute(placed: DataFrame) -> DataFrame:
+def impute(placed: DataFrame, grids: DataFrame) -> DataFrame:
     """Fill missing months with the parcel mean; ``known`` keeps one bit per real month."""
-    joined = attach(placed, parcel_means(placed))
+    joined = attach(placed, parcel_means(placed).join(grids.select("parcel_id", "res"), "parcel_id"))
     known = F.lit(0)
     for m, c in zip(MONTHS, MONTH_COLS):
         known = known + F.when(F.col(c).isNotNull(), 1 << (m - 1)).otherwise(0)
     filled = [F.coalesce(F.col(c), F.col(f"fill{m}")).alias(c) for m, c in zip(MONTHS, MONTH_COLS)]
-    return joined.select("parcel_id", "block", "px", "py", *filled, known.alias("known"), "n_pixels")
+    return joined.select("parcel_id", "block", "px", "py", *filled, known.alias("known"), "n_pixels", "res")
 
 
-def pixel_matrix(composite: DataFrame, res: float = 10.0, zones: int | None = None) -> DataFrame:
-    """Imputed pixel vectors laid out by parcel and block, ready for the rounds."""
-    k = F.lit(zones) if zones else zone_count(F.col("n_pixels"), res)
-    filled = impute(place(composite))
-    return keep_layout(filled.withColumn("k", F.least(k, F.col("n_pixels")).cast("int")))
+def pixel_matrix(composite: DataFrame, grids: DataFrame, zones: int | None = None) -> DataFrame:
+    """Imputed pixel vectors laid out by parcel and block, ready for the rounds.
+
+    ``grids(parcel_id, res)`` gives the cell size; ``zones`` fixes their number.
+    """
+    k = F.lit(zones) if zones else zone_count(F.col("n_pixels"), F.col("res"))
+    filled = impute(place(composite), grids)
+    return keep_layout(filled.withColumn("k", F.least(k, F.col("n_pixels")).cast("int")).drop("res"))
 
 
 def per_block(per_parcel: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from canopyflow import constants as K
 from canopyflow.functions.profile import months_present
-from canopyflow.operators import profiles, ranking, rules
+from canopyflow.operators import pixels, profiles, ranking, rules, smoothing
+from canopyflow.operators import scenes as scene_ops
 
 
 def length_status(profile: DataFrame) -> DataFrame:
@@ -44,3 +45,35 @@ def analyze_observations(observations: DataFrame, keys: Sequence[str], curves: D
     final = ranking.arbitrate_parcel(ranked)
     status = F.when(F.col("n_obs") < min_dates, F.lit("too_short")).otherwise(F.lit("ok"))
     return final.withColumn("status", status)
+
+
+def select_scenes(scenes: DataFrame, keys: Sequence[str], tie_breaks: Sequence[str],
+                  max_scenes: int = K.MAX_SCENES_PARCEL) -> DataFrame:
+    """Scenes to read per parcel: capped search result, best per day, thinned."""
+    capped = scene_ops.cap_scenes(scenes, keys, ["obs_date", *tie_breaks])
+    best = scene_ops.best_per_day(capped, keys, tie_breaks)
+    return scene_ops.thin_uniformly(best, keys, max_scenes)
+
+
+def series_from_pixels(bands: DataFrame, selected: DataFrame, min_pixels: int = K.MIN_PIXELS) -> DataFrame:
+    """Observation per parcel and selected scene.
+
+    Pixels are averaged per parcel and scene before they meet the scene list, so
+    only one row per parcel and scene is exchanged, never a pixel.
+    """
+    points = pixels.scene_points(pixels.valid_pixels(bands), ["parcel_id", "scene_id"], min_pixels=min_pixels)
+    return points.join(selected.select("parcel_id", "scene_id", "obs_date", "cloud", "tile"), ["parcel_id", "scene_id"])
+
+
+def analyze_parcels(bands: DataFrame, scenes: DataFrame, curves: DataFrame, as_of: str,
+                    tie_breaks: Sequence[str] = ("scene_id",), max_scenes: int = K.MAX_SCENES_PARCEL,
+                    min_pixels: int = K.MIN_PIXELS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(verdicts, smoothed series, run metadata)`` from pixels and scenes.
+
+    ``scenes`` lists candidate scenes per parcel (``scenes_over_parcels``).
+    """
+    keys = ["parcel_id"]
+    chosen = select_scenes(scenes, keys, tie_breaks, max_scenes)
+    series = series_from_pixels(bands, chosen, min_pixels)
+    verdicts = analyze_observations(series, keys, curves, as_of, min_dates=K.MIN_DATES_ANALYSIS)
+    return verdicts, smoothing.regularize(series, keys), scene_ops.run_metadata(scenes, chosen, series, keys)

@@ -1,0 +1 @@
+"""Result files: JSON lines, GeoJSON, analysis documents, CSV."""

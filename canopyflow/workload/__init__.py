@@ -1,6 +1,7 @@
 """All registered queries; importing the modules fills the registry."""
 
 from canopyflow.workload import (  # noqa: F401
+    flow_queries,
     image_queries,
     parcel_queries,
     pixel_queries,

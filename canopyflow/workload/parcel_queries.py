@@ -10,6 +10,7 @@ from canopyflow.functions.geodesy import _ALPHA, _E, _RECT, FALSE_EAST, FALSE_NO
 from canopyflow.operators import parcels as P
 from canopyflow.operators import scenes as SC
 from canopyflow.operators import spatial
+from canopyflow.operators.regions import min_region_pixels
 from canopyflow.workload import views as V
 from canopyflow.workload.registry import query
 
@@ -147,8 +148,7 @@ def f17(spark, sf):
 def f21(spark, sf):
     part = V.table(spark, sf, "part")
     ha, res = F.lit(0.5) + F.col("p_partkey") % 40, F.lit(10.0) * (1 + F.col("p_partkey") % 5)
-    px = F.greatest(F.lit(2).cast("bigint"), F.floor(ha * 10000 / (res * res)).cast("bigint"))
-    return part.select(F.col("p_partkey").alias("id"), px.alias("min_px"))
+    return part.select(F.col("p_partkey").alias("id"), min_region_pixels(ha, res).alias("min_px"))
 
 
 @query("w9_largest_part", f"""WITH {V.PARCELS} SELECT parcel_id, xmin + (parcel_id % 3) AS part_x FROM parcels WHERE {HAS_RINGS}""")

@@ -27,7 +27,7 @@ def composite(spark, sf):
 
 
 def zoned(spark, sf):
-    return zoning.segment(zoning.pixel_matrix(composite(spark, sf), RES, zones=S.ZONE_K), S.ZONE_ROUNDS)
+    return zoning.segment(zoning.pixel_matrix(composite(spark, sf), grids(spark, sf), zones=S.ZONE_K), S.ZONE_ROUNDS)
 
 
 def masks(spark, sf):
@@ -97,7 +97,7 @@ def a7(spark, sf):
 
 @query("a11_imputed_pixels", f"WITH {S.IMPUTED} SELECT parcel_id, px, py, {MONTHS_SQL}, known FROM imputed")
 def a11(spark, sf):
-    return zoning.impute(zoning.place(composite(spark, sf))).drop("n_pixels", "block")
+    return zoning.impute(zoning.place(composite(spark, sf)), grids(spark, sf)).drop("n_pixels", "block", "res")
 
 
 @query("f13_zone_count", f"""WITH {S.IMPUTED}, scaled AS (SELECT parcel_id, n_pixels, s, n_pixels * s AS n FROM means
@@ -108,7 +108,7 @@ SELECT parcel_id, n, CASE WHEN n < 50 THEN 1 ELSE least(CASE WHEN n * 0.01::DOUB
 def f13(spark, sf):
     scaled = zoning.parcel_means(zoning.place(composite(spark, sf))).select(
         "parcel_id", F.explode(F.array(*[F.col("n_pixels") * s for s in (1, 30, 120, 800, 3000)])).alias("n"))
-    return scaled.withColumn("zones", zoning.zone_count(F.col("n"), RES))
+    return scaled.withColumn("zones", zoning.zone_count(F.col("n"), F.lit(RES)))
 
 
 # ---- zones --------------------------------------------------------------------------
@@ -119,7 +119,7 @@ _SEEDS = """seeds AS MATERIALIZED (SELECT parcel_id, CAST(px // 10 AS INT) AS zo
 @query("r1_kmeans_one_step", f"""WITH {S.IMPUTED}, {_SEEDS}, {S.lloyd("imputed", "seeds", "step")}
 SELECT parcel_id, zone_id, {MONTHS_SQL} FROM step""")
 def r1_step(spark, sf):
-    matrix = zoning.pixel_matrix(composite(spark, sf), RES, zones=3)
+    matrix = zoning.pixel_matrix(composite(spark, sf), grids(spark, sf), zones=3)
     first = F.min(F.struct("py", "px", F.array(*MONTH_COLS).alias("v"))).alias("pick")
     seeds = (matrix.groupBy("parcel_id", F.expr("px div 10").alias("zone_id"))
              .agg(first, F.first("k").alias("k"), F.collect_set("block").alias("b"))
@@ -214,7 +214,7 @@ def r3(spark, sf):
 
 @query("r4_sieve", f"WITH {S.SIEVED} SELECT parcel_id, class, px, py FROM sieved")
 def r4(spark, sf):
-    cleaned = regions.sieve(regions.row_runs(masks(spark, sf)), grids(spark, sf), S.SIEVE_MIN)
+    cleaned = regions.sieve(regions.row_runs(masks(spark, sf)), grids(spark, sf), S.SIEVE_MIN / 100)
     return regions.run_cells(cleaned)
 
 
@@ -289,7 +289,7 @@ _REGION_TABLE = f"""region_table AS (SELECT parcel_id, class, region_id, count(*
 
 def region_table(spark, sf):
     labelled = regions.label_regions(regions.row_runs(masks(spark, sf)))
-    return outline.region_table(labelled, land_use_classes(spark), RES, 0.05)
+    return outline.region_table(labelled, land_use_classes(spark), grids(spark, sf), 0.05)
 
 
 @query("w7_top_regions", f"""WITH {S.REGIONS}, {_REGION_TABLE}, ordered AS (SELECT *, row_number() OVER (
@@ -309,7 +309,7 @@ _STATS = """stats AS (SELECT parcel_id, class, count(*) AS n_px,
 @query("a12_class_statistics", f"WITH {S.REGIONS}, {_REGION_TABLE}, {_STATS} SELECT * FROM class_stats")
 def a12(spark, sf):
     runs = regions.row_runs(masks(spark, sf))
-    return outline.class_statistics(runs, region_table(spark, sf), RES)
+    return outline.class_statistics(runs, region_table(spark, sf), grids(spark, sf))
 
 
 _CORN = "CASE class WHEN 'bright' THEN 'milho_safrinha' ELSE class END"
@@ -322,7 +322,7 @@ SELECT parcel_id, n_px, {S.half_up("n_px * 0.01::DOUBLE", 1)} AS total_ha, corn_
   {S.half_up("100.0::DOUBLE * corn_ha / (n_px * 0.01::DOUBLE)", 1)} AS corn_pct FROM totals""")
 def a13(spark, sf):
     runs = regions.row_runs(masks(spark, sf))
-    stats = outline.class_statistics(runs, region_table(spark, sf), RES).withColumn(
+    stats = outline.class_statistics(runs, region_table(spark, sf), grids(spark, sf)).withColumn(
         "class", F.when(F.col("class") == "bright", K.CORN).otherwise(F.col("class")))
     prop = masks(spark, sf).groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n_px"))
-    return outline.parcel_totals(prop, stats, RES)
+    return outline.parcel_totals(prop, stats, grids(spark, sf))

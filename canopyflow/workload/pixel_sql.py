@@ -56,7 +56,7 @@ def lloyd(source: str, centres: str, name: str) -> str:
 
 def kmeans(k: int, rounds: int) -> str:
     """Farthest-first start and ``rounds`` rounds, as one chain of steps."""
-    steps = [f"pix AS MATERIALIZED (SELECT * FROM imputed)",
+    steps = ["pix AS MATERIALIZED (SELECT * FROM imputed)",
              f"mid AS (SELECT parcel_id, {_means()} FROM pix GROUP BY 1)"]
     for j in range(k):
         if j == 0:

@@ -24,9 +24,18 @@ def _curve_values(index, month):
 _REF = "[" + ", ".join("[" + ", ".join(f"{v}::DOUBLE" for v in m) + "]" for _, _, m in LITERATURE_CURVES) + "]"
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_observations(table(spark, sf_dir, "lineitem"))
+
+
+def as_observations(li: DataFrame) -> DataFrame:
     """Several scenes per series and day, as a catalog would list them."""
-    li = table(spark, sf_dir, "lineitem")
     curve = _curve_values(F.col("l_suppkey") % 5, F.month("l_shipdate"))
     return li.select(
         (F.col("l_suppkey") * 10000 + F.year(F.add_months("l_shipdate", -8))).alias("series_id"),
@@ -100,7 +109,10 @@ PIXEL_BANDS = f"""pixel_bands AS (
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return as_audit(table(spark, sf_dir, "events"))
+
+
+def as_audit(ev: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
         F.col("event_id").alias("id"),
