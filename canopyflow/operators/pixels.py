@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow import constants as K
-from canopyflow.functions.numbers import E7, to_fixed
+from canopyflow.functions.numbers import E7
 from canopyflow.schemas import MONTH_COLS, MONTHS
 
 PIXEL = ["parcel_id", "px", "py"]
@@ -21,12 +21,17 @@ def band_offset(baseline: str = "baseline") -> Column:
 
 
 def valid_pixels(bands: DataFrame) -> DataFrame:
-    """Usable pixels with their index ``ndvi_e7`` in 1e-7 units."""
-    red, nir = F.col("b04") - band_offset(), F.col("b08") - band_offset()
-    usable = ((F.col("b04") > 0) & (F.col("b08") > 0) & F.col("scl").isin(*K.SCL_KEEP)
-              & (nir + red > K.MIN_BAND_SUM))
-    index = F.try_divide((nir - red).cast("double"), (nir + red).cast("double"))
-    return bands.where(usable).withColumn("ndvi_e7", to_fixed(index, E7))
+    """Usable pixels with their index ``ndvi_e7`` in 1e-7 units.
+
+    The offset cancels in the difference of the bands, so it is only needed in
+    their sum.  Keeping the expressions this small matters: they are inlined
+    into every filter and aggregate above.
+    """
+    total = F.col("b08") + F.col("b04") - 2 * band_offset()
+    usable = (F.col("b04") > 0) & (F.col("b08") > 0) & F.col("scl").isin(*K.SCL_KEEP) & (total > K.MIN_BAND_SUM)
+    index = (F.col("b08") - F.col("b04")) / total
+    return (bands.where(usable)
+            .withColumn("ndvi_e7", F.floor(index * float(E7) + 0.5).cast("bigint")))
 
 
 def scene_points(pixels: DataFrame, keys: Sequence[str], carry: Sequence[Column] = (),
@@ -47,17 +52,19 @@ def monthly_composite(pixels: DataFrame, pixel_keys: Sequence[str] = tuple(PIXEL
     """Mean index per pixel and month over all scenes, in 1e-7 units.
 
     One wide row per pixel from one aggregation; pixels seen in too few months
-    are dropped in the same pass.
+    are dropped in the same pass.  Values outside the plausible range become
+    null rather than being filtered: a filter would be pushed below the index
+    and compute it again.
     """
-    inside = pixels.where((F.col("ndvi_e7") > int(K.NDVI_LOW * E7)) & (F.col("ndvi_e7") < int(K.NDVI_HIGH * E7)))
-    month = F.month("obs_date")
+    plausible = (F.col("ndvi_e7") > int(K.NDVI_LOW * E7)) & (F.col("ndvi_e7") < int(K.NDVI_HIGH * E7))
+    dated = pixels.select(*pixel_keys, F.month("obs_date").alias("month"), F.when(plausible, F.col("ndvi_e7")).alias("v"))
     sums = []
     for m in MONTHS:
-        hit = F.when(month == m, F.col("ndvi_e7"))
+        hit = F.when(F.col("month") == m, F.col("v"))
         sums += [F.sum(hit).alias(f"s{m}"), F.count(hit).alias(f"c{m}")]
     means = [F.when(F.col(f"c{m}") > 0, F.floor(F.col(f"s{m}") / F.col(f"c{m}") + 0.5)).alias(f"m{m}")
              for m in MONTHS]
-    wide = inside.groupBy(*pixel_keys).agg(*sums).select(*pixel_keys, *means)
+    wide = dated.groupBy(*pixel_keys).agg(*sums).select(*pixel_keys, *means)
     present = sum((F.col(c).isNotNull().cast("int") for c in MONTH_COLS), F.lit(0))
     return wide.withColumn("n_months", present).where(F.col("n_months") >= min_months)
 

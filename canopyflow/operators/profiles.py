@@ -33,12 +33,11 @@ def monthly_profile(observations: DataFrame, keys: Sequence[str], date: str = "o
     One aggregation with twelve conditional integer sums: the map side reduces
     every series to at most one row per partition before the only exchange.
     """
-    month = F.month(date)
     sums = []
     for m in MONTHS:
-        hit = F.when(month == m, F.col(value_e4))
+        hit = F.when(F.col("month") == m, F.col(value_e4))
         sums += [F.sum(hit).alias(f"s{m}"), F.count(hit).alias(f"c{m}")]
-    totals = observations.groupBy(*keys).agg(
+    totals = observations.withColumn("month", F.month(date)).groupBy(*keys).agg(
         *sums, F.count(F.lit(1)).alias("n_obs"), F.max(date).alias("last_date"))
     means = [(F.when(F.col(f"c{m}") > 0, F.col(f"s{m}") / F.col(f"c{m}") / F.lit(float(E4))))
              .alias(f"m{m}") for m in MONTHS]

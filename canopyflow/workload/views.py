@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _curve_values(index, month):
-    curves = F.array(*[F.array(*[F.lit(v) for v in monthly]) for _, _, monthly in LITERATURE_CURVES])
-    return curves[index.cast("int")][month - 1]
+    curves = F.array(*[F.lit(v) for _, _, monthly in LITERATURE_CURVES for v in monthly])
+    return F.get(curves, (index * 12 + month - 1).cast("int"))
 
 
 _REF = "[" + ", ".join("[" + ", ".join(f"{v}::DOUBLE" for v in m) + "]" for _, _, m in LITERATURE_CURVES) + "]"
