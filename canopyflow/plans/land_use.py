@@ -12,6 +12,7 @@ from canopyflow.operators import outline, pixels, ranking, regions, rules, super
 from canopyflow.operators.profiles import fill_profile
 from canopyflow.session import cut_lineage
 from canopyflow.sources.curves import land_use_classes
+from canopyflow.sources.pixels import unusable_windows, without_windows
 
 
 @dataclass(frozen=True)
@@ -24,13 +25,22 @@ class LandUse:
     statistics: DataFrame
     totals: DataFrame
     status: DataFrame
+    rejected_scenes: DataFrame
 
 
-def scene_status(bands: DataFrame, min_scenes: int = K.MIN_SCENES_ZONING) -> DataFrame:
-    """Scenes per parcel and the reason for parcels that have too few."""
+def parcel_status(bands: DataFrame, grids: DataFrame, min_scenes: int = K.MIN_SCENES_ZONING) -> DataFrame:
+    """Scenes per parcel, and why a parcel is not mapped.
+
+    A grid beyond the side limit is refused rather than processed: that limit is
+    what bounds a raster row and the outline of a region.
+    """
     seen = bands.groupBy("parcel_id", "scene_id").agg(F.count(F.lit(1)).alias("n"))
-    return (seen.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("scenes_used"))
-            .withColumn("reason", F.when(F.col("scenes_used") < min_scenes, F.lit("few_scenes"))))
+    counted = seen.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("scenes_used"))
+    sides = grids.select("parcel_id", F.greatest("width", "height").alias("side"))
+    reason = (F.when(F.col("scenes_used").isNull() | (F.col("scenes_used") < min_scenes), F.lit("few_scenes"))
+              .when(F.col("side") > K.MAX_GRID_SIDE, F.lit("grid_too_large")))
+    return (sides.join(counted, "parcel_id", "left").withColumn("reason", reason)
+            .select("parcel_id", F.coalesce("scenes_used", F.lit(0)).alias("scenes_used"), "reason"))
 
 
 def classify_zones(zone_profiles: DataFrame, curves: DataFrame, overrides: dict[str, float] | None = None) -> DataFrame:
@@ -55,8 +65,11 @@ def map_land_use(bands: DataFrame, grids: DataFrame, curves: DataFrame, rgb: Dat
     filling may let classes overlap.
     """
     spark = bands.sparkSession
-    scenes = cut_lineage(scene_status(bands))
-    # parcels with too few scenes are listed in ``status`` and leave here
+    rejects = cut_lineage(unusable_windows(bands))
+    property_cells = bands.select("parcel_id", "px", "py")
+    bands = without_windows(bands, rejects)
+    scenes = cut_lineage(parcel_status(bands, grids))
+    # parcels that cannot be mapped are listed in ``status`` and leave here
     ready = grids.join(scenes.where(F.col("reason").isNull()).select("parcel_id"), "parcel_id", "left_semi")
     composite = pixels.monthly_composite(pixels.valid_pixels(bands))
     zoned = zoning.segment(zoning.pixel_matrix(composite, ready, zones), rounds)
@@ -82,7 +95,7 @@ def map_land_use(bands: DataFrame, grids: DataFrame, curves: DataFrame, rgb: Dat
     shown = labelled.join(listed.select("parcel_id", "class", "region_id"), ["parcel_id", "class", "region_id"], "left_semi")
     outlines = outline.outline_regions(shown, ready)
     statistics = outline.class_statistics(labelled, table, ready)
-    property_px = bands.groupBy("parcel_id", "px", "py").agg(F.count(F.lit(1)).alias("n")).groupBy(
+    property_px = property_cells.groupBy("parcel_id", "px", "py").agg(F.count(F.lit(1)).alias("n")).groupBy(
         "parcel_id").agg(F.count(F.lit(1)).alias("n_px"))
     return LandUse(
         zones=zone_classes,
@@ -91,4 +104,5 @@ def map_land_use(bands: DataFrame, grids: DataFrame, curves: DataFrame, rgb: Dat
         statistics=statistics,
         totals=outline.parcel_totals(property_px, statistics, ready),
         status=scenes.join(refinement, "parcel_id", "left"),
+        rejected_scenes=rejects,
     )

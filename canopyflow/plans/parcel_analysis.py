@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow import constants as K
+from canopyflow.functions.numbers import half_up
 from canopyflow.functions.profile import months_present
 from canopyflow.operators import pixels, profiles, ranking, rules, smoothing
 from canopyflow.operators import scenes as scene_ops
+from canopyflow.sources.pixels import unusable_windows
 
 
 def length_status(profile: DataFrame) -> DataFrame:
@@ -61,8 +63,11 @@ def series_from_pixels(bands: DataFrame, selected: DataFrame, min_pixels: int =
     Pixels are averaged per parcel and scene before they meet the scene list, so
     only one row per parcel and scene is exchanged, never a pixel.
     """
-    points = pixels.scene_points(pixels.valid_pixels(bands), ["parcel_id", "scene_id"], min_pixels=min_pixels)
-    return points.join(selected.select("parcel_id", "scene_id", "obs_date", "cloud", "tile"), ["parcel_id", "scene_id"])
+    window = ["parcel_id", "scene_id"]
+    points = (pixels.scene_points(pixels.valid_pixels(bands), window, min_pixels=min_pixels)
+              .join(unusable_windows(bands), window, "left_anti"))
+    cloud = half_up(F.coalesce(F.col("cloud").cast("double"), F.lit(0.0)), 1).alias("cloud")
+    return points.join(selected.select(*window, "obs_date", cloud, "tile"), window)
 
 
 def analyze_parcels(bands: DataFrame, scenes: DataFrame, curves: DataFrame, as_of: str,

@@ -75,7 +75,8 @@ def calibration_from_series(spark, sf):
 # ---- land use ------------------------------------------------------------------------
 @query("land_use_regions")
 def land_use_regions(spark, sf):
-    result = land_use.map_land_use(V.pixel_bands(spark, sf), grids(spark, sf), literature_curves(spark),
+    bands, _ = monthly_scenes(V.pixel_bands(spark, sf))
+    result = land_use.map_land_use(bands, grids(spark, sf), literature_curves(spark),
                                    min_area_ha=0.1, zones=5)
     return result.regions.select("parcel_id", "class", "region_id", "area_ha", "label", "colour",
                                  F.size("rings").alias("n_rings"), "truncated")

@@ -9,6 +9,7 @@ from canopyflow.operators import outline, pixels, ranking, regions, rules, zonin
 from canopyflow.operators.profiles import fill_profile
 from canopyflow.schemas import MONTH_COLS
 from canopyflow.sources.curves import land_use_classes, literature_curves
+from canopyflow.sources.pixels import unusable_windows
 from canopyflow.workload import pixel_sql as S
 from canopyflow.workload import series_sql as SS
 from canopyflow.workload import views as V
@@ -53,6 +54,12 @@ def src2(spark, sf):
             .agg(F.count(F.lit(1)).alias("n"), F.sum("b04").alias("b04"), F.sum("b08").alias("b08")))
 
 
+@query("src2_unusable_windows", f"""WITH {S.PIXEL_BANDS} SELECT parcel_id, scene_id, 'narrow_window' AS reason FROM pixel_bands
+  GROUP BY 1, 2 HAVING max(px) - min(px) < 1 OR max(py) - min(py) < 1""")
+def src2_windows(spark, sf):
+    return unusable_windows(V.pixel_bands(spark, sf))
+
+
 @query("p1_band_offset", f"""WITH {S.VALID} SELECT baseline, off AS band_offset, count(*) AS n FROM shifted GROUP BY 1, 2""")
 def p1(spark, sf):
     return (V.pixel_bands(spark, sf).groupBy("baseline", pixels.band_offset().alias("band_offset"))

@@ -98,7 +98,7 @@ def curves_values(name: str = "curves") -> str:
 
 
 def warped(source: str, keys: str, name: str = "warped") -> str:
-    """Twelve chained steps of the banded recursion, one per month of the series."""
+    """The banded recursion as a chain of steps, one per cell."""
     keep = f"{keys}, curve_ord, curve_class, curve_label, " + ", ".join(
         [f"f{m}" for m in MONTHS] + [f"b{m}" for m in MONTHS])
     steps = [f"w0 AS (SELECT {keep} FROM {source} CROSS JOIN curves)"]
@@ -111,18 +111,18 @@ def warped(source: str, keys: str, name: str = "warped") -> str:
             return inf, "0.0::DOUBLE", "0.0::DOUBLE"
         return f"c{i}_{j}", f"s{i}_{j}", f"n{i}_{j}"
 
+    # one step per cell: repeated aliases inside one SELECT would be expanded
+    last = "w0"
     for i in MONTHS:
-        cols = []
         for j in range(max(1, i - 3), min(12, i + 3) + 1):
             d, u, left = cell(i - 1, j - 1), cell(i - 1, j), cell(i, j - 1)
             pick = "CASE WHEN {d} <= {u} AND {d} <= {l} THEN {x} WHEN {u} <= {l} THEN {y} ELSE {z} END"
             out = [pick.format(d=d[0], u=u[0], l=left[0], x=d[k], y=u[k], z=left[k]) for k in range(3)]
-            cols.append(f"abs(f{i} - b{j}) + {out[0]} AS c{i}_{j}")
-            cols.append(f"{out[1]} + ({i - j}) AS s{i}_{j}")
-            cols.append(f"{out[2]} + 1 AS n{i}_{j}")
-        steps.append(f"w{i} AS (SELECT *, {', '.join(cols)} FROM w{i - 1})")
+            steps.append(f"w{i}_{j} AS (SELECT *, abs(f{i} - b{j}) + {out[0]} AS c{i}_{j}, "
+                         f"{out[1]} + ({i - j}) AS s{i}_{j}, {out[2]} + 1 AS n{i}_{j} FROM {last})")
+            last = f"w{i}_{j}"
     steps.append(f"{name} AS (SELECT {keys}, curve_ord, curve_class, curve_label, "
-                 "c12_12 / 12 AS distance, s12_12 / n12_12 AS shift FROM w12)")
+                 f"c12_12 / 12 AS distance, s12_12 / n12_12 AS shift FROM {last})")
     return ",\n".join(steps)
 
 

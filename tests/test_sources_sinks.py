@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import struct
 import zlib
@@ -129,3 +130,23 @@ def test_feature_collections(spark, tmp_path):
     assert [(f["properties"]["class"], f["properties"]["area_ha"]) for f in doc["features"]] == [
         ("milho_safrinha", 9.0), ("milho_safrinha", 3.0), ("mata", 2.0)]
     assert doc["features"][0]["geometry"]["coordinates"][0][0] == RING[0]
+
+
+def test_pixel_table_reads_only_its_window(spark, tmp_path):
+    from canopyflow.sources.pixels import read_window, unusable_windows, without_windows, write_pixels
+    rows = [(1, s, x, y, t, dt.date(2026, m, 5), "04.00", 4, 2000, 4000)
+            for s, (t, m) in enumerate([("A", 1), ("A", 2), ("A", 3), ("B", 2)]) for x in range(4) for y in range(4)]
+    rows += [(1, 9, x, 0, "A", dt.date(2026, 2, 6), "04.00", 4, 2000, 4000) for x in range(4)]
+    rows += [(1, 8, x, x, "A", dt.date(2026, 2, 7), "04.00", 4, None, 4000) for x in range(4)]
+    df = spark.createDataFrame(rows, "parcel_id bigint, scene_id bigint, px int, py int, tile string, obs_date date, "
+                                     "baseline string, scl int, b04 int, b08 int")
+    write_pixels(df, str(tmp_path / "px"))
+    got = read_window(spark, str(tmp_path / "px"), "A", "2026-02-01", "2026-02-28", (1, 1, 2, 3))
+    assert {(r.scene_id, r.px, r.py) for r in got.collect()} == {(1, x, y) for x in (1, 2) for y in (1, 2, 3)} | {(8, 1, 1), (8, 2, 2)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "PartitionFilters: []" not in scan and "PushedFilters: []" not in scan
+    assert "month" in scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    bad = unusable_windows(df)
+    assert {(r.scene_id, r.reason) for r in bad.collect()} == {(9, "narrow_window"), (8, "missing_band")}
+    assert {r.scene_id for r in without_windows(df, bad).collect()} == {0, 1, 2, 3}

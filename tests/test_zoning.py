@@ -130,8 +130,8 @@ def striped_bands(spark, parcels=2, side=24):
                         v = (corn if x < side // 2 else forest)[m - 1] + (0.01 if half else -0.01)
                         rows.append((p, x, y, m * 10 + half, dt.date(2025 if m >= 9 else 2026, m, 3 + half), "04.00", 4,
                                      round(1000 + 3000 * (1 - v)), round(1000 + 3000 * (1 + v))))
-    for x in range(9):
-        rows.append((9, x, 0, 1, dt.date(2026, 1, 1), "04.00", 4, 2000, 4000))
+    for x in range(18):
+        rows.append((9, x % 9, x // 9, 1, dt.date(2026, 1, 1), "04.00", 4, 2000, 4000))
     return spark.createDataFrame(rows, "parcel_id bigint, px bigint, py bigint, scene_id bigint, obs_date date, "
                                        "baseline string, scl int, b04 int, b08 int")
 
@@ -146,7 +146,7 @@ def test_whole_land_use_plan(spark):
         F.lit(90).cast("bigint").alias("g"), F.lit(60).cast("bigint").alias("b"))
     done = land_use.map_land_use(bands, grids, literature_curves(spark), rgb=rgb, min_area_ha=0.2)
     status = {r.parcel_id: (r.reason, r.method) for r in done.status.collect()}
-    assert status[9][0] == "few_scenes" and status[0] == (None, "slic")
+    assert status[9][0] == "few_scenes" and status[0] == (None, "slic") and done.rejected_scenes.count() == 0
     classes = {r.zone_class for r in done.zones.collect()}
     assert classes == {"milho_safrinha", "mata"}
     found = sorted((r.parcel_id, r["class"], r.label) for r in done.regions.collect())
