@@ -44,20 +44,36 @@ def epsg_code(lon: Column, lat: Column) -> Column:
     return F.when(lat < 0, 32700).otherwise(32600) + grid_zone(lon)
 
 
+def project_points(points: Column, zone: Column, south: Column) -> Column:
+    """Array of ``(lon, lat)`` structs to ``(x, y)`` in metres of a grid zone.
+
+    One transform per stage of the series, so every intermediate value is
+    computed once per point instead of being repeated inside the next formula.
+    """
+    sines = F.transform(points, lambda p: F.struct(
+        F.sin(F.radians(p["lat"])).alias("s"), F.radians(p["lon"] - (zone * 6 - 183)).alias("lam")))
+    conformal = F.transform(sines, lambda p: F.struct(
+        F.sinh(F.atanh(p["s"]) - F.lit(_E) * F.atanh(F.lit(_E) * p["s"])).alias("t"), p["lam"].alias("lam")))
+    angles = F.transform(conformal, lambda p: F.struct(
+        F.atan2(p["t"], F.cos(p["lam"])).alias("xi"),
+        F.atanh(F.sin(p["lam"]) / F.sqrt(F.lit(1.0) + p["t"] * p["t"])).alias("eta")))
+
+    def metres(p: Column) -> Column:
+        north, east = p["xi"], p["eta"]
+        for j, a in enumerate(_ALPHA, 1):
+            k = F.lit(2.0 * j)
+            north = north + F.lit(a) * F.sin(k * p["xi"]) * F.cosh(k * p["eta"])
+            east = east + F.lit(a) * F.cos(k * p["xi"]) * F.sinh(k * p["eta"])
+        y = F.lit(SCALE * _RECT) * north + F.when(south, F.lit(FALSE_NORTH)).otherwise(F.lit(0.0))
+        return F.struct((F.lit(FALSE_EAST) + F.lit(SCALE * _RECT) * east).alias("x"), y.alias("y"))
+
+    return F.transform(angles, metres)
+
+
 def project(lon: Column, lat: Column, zone: Column, south: Column) -> tuple[Column, Column]:
     """Easting and northing in metres of the given grid zone."""
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(_E) * F.atanh(F.lit(_E) * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(F.lit(1.0) + t * t))
-    north, east = xi, eta
-    for j, a in enumerate(_ALPHA, 1):
-        north = north + F.lit(a) * F.sin(F.lit(2.0 * j) * xi) * F.cosh(F.lit(2.0 * j) * eta)
-        east = east + F.lit(a) * F.cos(F.lit(2.0 * j) * xi) * F.sinh(F.lit(2.0 * j) * eta)
-    x = F.lit(FALSE_EAST) + F.lit(SCALE * _RECT) * east
-    y = F.lit(SCALE * _RECT) * north + F.when(south, F.lit(FALSE_NORTH)).otherwise(F.lit(0.0))
-    return x, y
+    point = F.get(project_points(F.array(F.struct(lon.alias("lon"), lat.alias("lat"))), zone, south), F.lit(0))
+    return point["x"], point["y"]
 
 
 def unproject(x: np.ndarray, y: np.ndarray, zone: int, south: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -78,17 +94,3 @@ def unproject(x: np.ndarray, y: np.ndarray, zone: int, south: bool) -> tuple[np.
         slope = (np.sqrt((1 + guess * guess) * (1 + tau * tau)) * (1 - _E2) / (1 + (1 - _E2) * tau * tau))
         tau += (tau_c - guess) / slope
     return np.degrees(lam) + zone * 6 - 183, np.degrees(np.arctan(tau))
-
-
-def ring_area(ring: str, x: int = 0, y: int = 1) -> Column:
-    """Signed planar area of a closed ring column of ``[x, y]`` points."""
-    term = f"({ring}[i][{x}] * {ring}[i + 1][{y}] - {ring}[i + 1][{x}] * {ring}[i][{y}])"
-    return F.expr(f"aggregate(sequence(0, size({ring}) - 2), 0D, (acc, i) -> acc + {term}) / 2D")
-
-
-def spherical_ring_area(ring: str) -> Column:
-    """Unsigned area in square metres of a closed lon/lat ring on the sphere."""
-    half = SPHERE_RADIUS * SPHERE_RADIUS / 2
-    term = (f"(radians({ring}[i + 1][0]) - radians({ring}[i][0])) "
-            f"* (sin(radians({ring}[i][1])) + sin(radians({ring}[i + 1][1])))")
-    return F.expr(f"abs(aggregate(sequence(0, size({ring}) - 2), 0D, (acc, i) -> acc + {term})) * {half!r}D")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canopyflow import constants as K
 from canopyflow.functions import rings as R
-from canopyflow.functions.geodesy import grid_zone, project
+from canopyflow.functions.geodesy import grid_zone, project_points
 
 
 def normalize_features(features: DataFrame, rings: str = "rings") -> DataFrame:
@@ -73,10 +73,10 @@ def grid_for_parcel(parcels: DataFrame, rings: str = "rings", max_side: int = K.
                .when(side == 2, F.col("xmax") - dx * t).otherwise(F.col("xmin")))
         lat = (F.when(side == 0, F.col("ymin")).when(side == 1, F.col("ymin") + dy * t)
                .when(side == 2, F.col("ymax")).otherwise(F.col("ymax") - dy * t))
-        x, y = project(lon, lat, F.col("zone"), F.col("south"))
-        return F.struct(x.alias("x"), y.alias("y"))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
 
-    df = df.withColumn("frame", F.transform(F.sequence(F.lit(0), F.lit(4 * steps - 1)), point))
+    frame = F.transform(F.sequence(F.lit(0), F.lit(4 * steps - 1)), point)
+    df = df.withColumn("frame", project_points(frame, F.col("zone"), F.col("south")))
     df = df.withColumns({
         "grid_minx": F.array_min("frame.x"), "grid_maxx": F.array_max("frame.x"),
         "grid_miny": F.array_min("frame.y"), "grid_maxy": F.array_max("frame.y")}).drop("frame")
