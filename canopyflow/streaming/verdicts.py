@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,32 +12,44 @@ from canopyflow.operators import scenes
 from canopyflow.plans.parcel_analysis import analyze_observations
 
 BROADCAST_KEYS = 200_000
+BUCKETS = 256
+
+
+def bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
 def touched_history(history: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Stored observations of the series a batch touches.
 
-    The key list is broadcast only when counting shows that it is short.
+    Only the buckets of those series are read.  The key list is broadcast only
+    when counting shows that it is short.
     """
     touched = batch.select(*keys).distinct()
+    buckets = [r[0] for r in touched.select(bucket(keys)).distinct().collect()]  # at most BUCKETS
     few = touched.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return history.join(F.broadcast(touched) if few else touched, list(keys), "left_semi")
+    return (history.where(F.col("bucket").isin(buckets))
+            .join(F.broadcast(touched) if few else touched, list(keys), "left_semi"))
 
 
 def update_verdicts(observations: DataFrame, curves: DataFrame, keys: Sequence[str], tie_breaks: Sequence[str],
                     store: str, checkpoint: str, as_of: str) -> StreamingQuery:
     """Append each batch to ``store/observations`` and write new verdicts.
 
-    Batch folders are overwritten when a batch is repeated.  ``latest_verdicts``
-    gives the current verdict of every series.
+    Observations are stored by batch and series bucket.  Batch folders are
+    overwritten when a batch is repeated.  ``latest_verdicts`` gives the current
+    verdict of every series.
     """
     spark = observations.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/observations/batch={batch_id}")
-        history = spark.read.parquet(f"{store}/observations").where(F.col("batch") <= batch_id).drop("batch")
-        fresh = spark.read.parquet(f"{store}/observations/batch={batch_id}")
-        series = scenes.best_per_day(touched_history(history, fresh, keys), keys, tie_breaks)
+        (batch.withColumn("bucket", bucket(keys)).repartition(F.col("bucket"), F.month("obs_date"))
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/observations/batch={batch_id}"))
+        stored = spark.read.parquet(f"{store}/observations")
+        history = stored.where(F.col("batch") <= batch_id)
+        fresh = stored.where(F.col("batch") == batch_id)
+        touched = touched_history(history, fresh, keys).drop("batch", "bucket")
+        series = scenes.best_per_day(touched, keys, tie_breaks)
         verdicts = analyze_observations(series, keys, curves, as_of)
         (verdicts.select(*keys, "final_class", "final_confidence", "n_obs", "last_date")
          .write.mode("overwrite").parquet(f"{store}/verdicts/batch={batch_id}"))

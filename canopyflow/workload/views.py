@@ -186,7 +186,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ymin = F.expr("c_custkey div 40") * F.lit(0.05) - 14.0
     xmax = xmin + F.lit(0.01) * (1 + key % 6)
     ymax = ymin + F.lit(0.01) * (1 + key % 5)
-    return (c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    return (c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(key.alias("parcel_id"), xmin.alias("xmin"), ymin.alias("ymin"),
                     xmax.alias("xmax"), ymax.alias("ymax"), (key % 9 == 0).alias("swapped"),
                     F.col("n_name").alias("municipality")))
