@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from canopyflow.llm.common import NO_ID, ids_of, slices, stored, utf8
 
-PART_BYTES = 16_000_000
+PART_BYTES = 10_000_000
+#: Text whose spans a task holds at once.
+BATCH_BYTES = 10_000_000
 #: Symbols hashed in one step; positions in a step take the low bits of a sort key.
 STEP = 1 << 20
 POSITION = np.uint64((1 << 22) - 1)
@@ -202,17 +204,19 @@ def _wide(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 def anchors(docs: DataFrame, kind: Kind, parts: int) -> DataFrame:
     def found(batches):
         for batch in batches:
-            flat, offsets = utf8(batch.column(1))
-            doc, tag = ids_of(batch.column(0)), tags_of(flat, offsets)
-            row, start, windows, gram, content = all_spans(flat, offsets, kind)
-            order, later, _ = _later(kind, doc[row], start, content, gram)
-            row, start, windows, gram, content = (x[order] for x in (row, start, windows, gram, content))
-            d, t = doc[row], tag[row]
-            bucket = (gram >> np.uint64(16)) % np.uint64(parts)
-            rows = [(-1 - p, "done", x) for p, x in _dealt(part_of(d, parts), later, d, t, start, windows)]
-            rows += [(b, "span", x) for b, x in _dealt(bucket.astype(np.int64), ~later, d, t, start, windows, *_short(gram), *_short(content))]
-            if rows:
-                yield _routed(rows)
+            every, places = utf8(batch.column(1))
+            docs_of, tags = ids_of(batch.column(0)), tags_of(every, places)
+            for a, b in slices(places, BATCH_BYTES):
+                flat, offsets = every[places[a]:places[b]], places[a:b + 1] - places[a]
+                row, start, windows, gram, content = all_spans(flat, offsets, kind)
+                doc, tag = docs_of[a:b][row], tags[a:b][row]
+                order, later, _ = _later(kind, doc, start, content, gram)
+                doc, tag, start, windows, gram, content = (x[order] for x in (doc, tag, start, windows, gram, content))
+                bucket = ((gram >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+                rows = [(-1 - p, "done", x) for p, x in _dealt(part_of(doc, parts), later, doc, tag, start, windows)]
+                rows += [(k, "span", x) for k, x in _dealt(bucket, ~later, doc, tag, start, windows, *_short(gram), *_short(content))]
+                if rows:
+                    yield _routed(rows)
 
     return docs.select("doc_id", "text").mapInArrow(found, ROUTED)
 
