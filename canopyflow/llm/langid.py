@@ -114,7 +114,7 @@ def learn(docs: DataFrame, lang: str = "lang") -> dict:
                     total[BINS:] += np.bincount(script[word_lang == name], minlength=N_SCRIPTS)
         for name, total in sums.items():
             used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used), pa.array(total[used])], ["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used), pa.array(total[used])], ["lang", "bin", "n"])
 
     rows = known.mapInArrow(counted, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(rows["lang"]))

@@ -34,7 +34,7 @@ def named_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``doc_id, tag, at`` (number of the window's first line among the lines that
     are not blank) and ``name`` of every window of ``min_lines`` lines."""
     rows = docs.select(F.col("doc_id"), text_key().alias("tag"),
-                       F.expr("filter(split(text, '\\n', -1), x -> trim(x, ' \\t\\r') <> '')").alias("lines"))
+                       F.expr("filter(split(text, '\\n', -1), x -> btrim(x, ' \\t\\r') <> '')").alias("lines"))
     rows = rows.select("doc_id", "tag", F.expr(
         "transform(lines, x -> named_struct('x', xxhash64(x), 'y', xxhash64(x, 1)))").alias("names"))
     known = 1
@@ -84,7 +84,7 @@ def _kept(joined: DataFrame, count: str | None) -> DataFrame:
     lines = joined.withColumn("_lines", F.when(F.col("_runs").isNotNull(), F.split("text", "\n", -1)))
     # places of the lines that are not blank, so that runs become line ranges
     lines = lines.withColumn("_full", F.expr(
-        "filter(transform(_lines, (x, i) -> if(trim(x, ' \\t\\r') <> '', i, null)), i -> i is not null)"))
+        "filter(transform(_lines, (x, i) -> if(btrim(x, ' \\t\\r') <> '', i, null)), i -> i is not null)"))
     lines = lines.withColumn("_gone", F.expr("flatten(transform(_runs, r -> slice(_full, r.a + 1, r.b - r.a + 1)))"))
     lines = lines.withColumn("_rest", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(

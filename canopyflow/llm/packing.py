@@ -21,7 +21,9 @@ from canopyflow.llm.common import ranked, stored, worker_state
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task keeps at hand; more only cost time.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
+#: Marks that the vocabulary's rules part from a letter before them.
+ENDS = ".,;:!?"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,7 +35,9 @@ def default_tokenizer() -> str:
 
 class WordIds:
     """Token ids of texts, word by word: the vocabulary never joins across white
-    space, so words met before need not be tokenised again."""
+    space, so words met before need not be tokenised again.  It lower-cases, and
+    keeps letters apart from marks, so ASCII case and a last mark are taken off
+    before.  Special tokens contain neither upper case nor such an end."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,12 +49,23 @@ class WordIds:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        new = list(set().union(*split) - self.known.keys())
+        new = set().union(*split) - self.known.keys()
+        ended = [w for w in new if len(w) > 1 and w[-1] in ENDS and w[-2].isalpha()]
+        new.difference_update(ended)
+        new.update(w[:-1] for w in ended)
+        new.update(w[-1] for w in ended)
+        new = list(new - self.known.keys())
+        plain = list({w.lower() if w.isascii() else w for w in new} - self.known.keys())
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at:at + 20_000]
             for word, coded in zip(part, fast(part, add_special_tokens=False)):
                 self.known[word] = np.array(coded.ids, "<u4").tobytes()
+        for word in new:
+            if word not in self.known:
+                self.known[word] = self.known[word.lower()]
+        for word in ended:
+            self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

@@ -151,10 +151,11 @@ def _later(kind: Kind, doc, start, content, gram):
     order = np.lexsort((start, doc, content, gram))
     doc, content, gram = doc[order], content[order], gram[order]
     fresh = np.r_[True, (content[1:] != content[:-1]) | (gram[1:] != gram[:-1])] if len(order) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0)) if len(doc) else order
+    later = doc > doc[head]
     if kind.by_start:
-        return order, ~fresh, fresh
-    lowest = doc[np.maximum.accumulate(np.where(fresh, np.arange(len(doc)), 0))] if len(doc) else doc
-    return order, doc > lowest, fresh
+        later |= (doc == doc[head]) & (start[order] > start[order][head])
+    return order, later, fresh
 
 
 #: Rows on their way: doc_id and tag once per run of rows, then start, windows and the columns that follow.

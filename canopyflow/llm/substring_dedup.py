@@ -9,6 +9,8 @@ tells where they occur first.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -91,8 +93,12 @@ def later_windows(doc, start, windows, gram, content, size: int = WINDOW):
         for i, begin in zip(own, begins):
             for number, end in enumerate(automaton.earliest(content[i], size)):
                 if 0 <= end < begin + number + size - 1:
-                    rows.append(i)
-                    numbers.append(number)
+                    k = bisect_right(begins, end) - 1
+                    first = own[k]
+                    # rows that repeat a document are at the same place
+                    if (doc[first], start[first] + end - begins[k] - size + 1) < (doc[i], start[i] + number):
+                        rows.append(i)
+                        numbers.append(number)
     return np.array(rows, int), np.array(numbers, int)
 
 
