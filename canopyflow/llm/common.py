@@ -44,6 +44,12 @@ def text_key(text="text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def with_array(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with column ``name`` computed once for each row; as a plain column it
+    would be put into every lambda that uses it and computed for each element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def worker_state() -> dict:
     """What a Python worker keeps from one task to the next; functions of this
     package travel by value, so their own globals start anew each time."""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyflow.llm.common import text_key
+from canopyflow.llm.common import text_key, with_array
 
 MIN_LINES = 2
 
@@ -35,12 +35,12 @@ def named_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     are not blank) and ``name`` of every window of ``min_lines`` lines."""
     rows = docs.select(F.col("doc_id"), text_key().alias("tag"),
                        F.expr("filter(split(text, '\\n', -1), x -> btrim(x, ' \\t\\r') <> '')").alias("lines"))
-    rows = rows.select("doc_id", "tag", F.expr(
-        "transform(lines, x -> named_struct('x', xxhash64(x), 'y', xxhash64(x, 1)))").alias("names"))
+    rows = with_array(rows, "names", F.expr(
+        "transform(lines, x -> named_struct('x', xxhash64(x), 'y', xxhash64(x, 1)))")).select("doc_id", "tag", "names")
     known = 1
     while known < min_lines:
         step = min(known, min_lines - known)
-        rows = rows.withColumn("names", F.expr(_doubled("names", step)))
+        rows = with_array(rows.withColumnRenamed("names", "half"), "names", F.expr(_doubled("half", step))).drop("half")
         known += step
     return rows.select("doc_id", "tag", F.posexplode("names").alias("at", "name"))
 
@@ -81,12 +81,12 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, count: st
 
 def _kept(joined: DataFrame, count: str | None) -> DataFrame:
     """Cuts the runs; lines between two runs are taken as one slice."""
-    lines = joined.withColumn("_lines", F.when(F.col("_runs").isNotNull(), F.split("text", "\n", -1)))
+    lines = with_array(joined, "_lines", F.when(F.col("_runs").isNotNull(), F.split("text", "\n", -1)))
     # places of the lines that are not blank, so that runs become line ranges
-    lines = lines.withColumn("_full", F.expr(
+    lines = with_array(lines, "_full", F.expr(
         "filter(transform(_lines, (x, i) -> if(btrim(x, ' \\t\\r') <> '', i, null)), i -> i is not null)"))
-    lines = lines.withColumn("_gone", F.expr("flatten(transform(_runs, r -> slice(_full, r.a + 1, r.b - r.a + 1)))"))
-    lines = lines.withColumn("_rest", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
+    lines = with_array(lines, "_gone", F.expr("flatten(transform(_runs, r -> slice(_full, r.a + 1, r.b - r.a + 1)))"))
+    lines = with_array(lines, "_rest", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(
         F.expr("array_join(transform(_rest, i -> _lines[i]), '\\n')"))
     names = [c for c in joined.columns if c not in ("_tag", "_doc", "_of", "_runs")]

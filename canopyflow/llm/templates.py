@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyflow.llm.common import stored
+from canopyflow.llm.common import stored, with_array
 
 WINDOW = 8
 #: Consecutive matching windows that make a leak (13 words), or all of a shorter item.
@@ -51,8 +51,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """``item_id, j, hash, n_windows`` of the items' windows with enough literal words."""
     literal = F.expr(f"""transform(sequence(1, greatest(1, size(w) - {WINDOW - 1})),
         i -> size(filter(slice(w, i, {WINDOW}), x -> substring(x, 1, 1) <> 'µ')) >= least({LITERALS}, size(w)))""")
-    return (benchmark.where("text is not null and item_id is not null").select("item_id", words(F.col("text")).alias("w"))
-            .where("size(w) > 0")
+    items = with_array(benchmark.where("text is not null and item_id is not null").select("item_id", "text"), "w", words(F.col("text")))
+    return (items.where("size(w) > 0")
             .select("item_id", F.posexplode(F.arrays_zip(_windows("w").alias("hash"), literal.alias("literal"))).alias("j", "z"),
                     F.expr(f"greatest(1, size(w) - {WINDOW - 1})").alias("n_windows"))
             .where("z.literal").select("item_id", "j", F.col("z.hash").alias("hash"), "n_windows"))
@@ -63,7 +63,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stored(item_windows(benchmark), "items")
     wanted = items.select("hash").distinct()
     wanted = F.broadcast(wanted) if items.count() <= MAX_BROADCAST else wanted
-    found = (docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.posexplode(_windows("w")).alias("i", "hash"))
+    found = (with_array(docs.select("doc_id", "text"), "w", words(F.col("text"))).select("doc_id", F.posexplode(_windows("w")).alias("i", "hash"))
              .join(wanted, "hash"))
     met = found.join(items, "hash").groupBy("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift"), "n_windows")
     return met.agg(F.array_sort(F.collect_set("j")).alias("places"))
