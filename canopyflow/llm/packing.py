@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyflow.llm.common import ranked, stored, worker_state
+from canopyflow.llm.common import ranked, slices, stored, worker_state
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task keeps at hand; more only cost time.
 KNOWN_WORDS = 600_000
+#: Text whose words are looked up at once.
+STEP_CHARS = 3_000_000
 #: Marks that the vocabulary's rules part from a letter before them.
 ENDS = ".,;:!?"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,23 +51,19 @@ class WordIds:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        new = set().union(*split) - self.known.keys()
-        ended = [w for w in new if len(w) > 1 and w[-1] in ENDS and w[-2].isalpha()]
-        new.difference_update(ended)
-        new.update(w[:-1] for w in ended)
-        new.update(w[-1] for w in ended)
-        new = list(new - self.known.keys())
-        plain = list({w.lower() if w.isascii() else w for w in new} - self.known.keys())
+        cores = {}
+        for word in set().union(*split) - self.known.keys():
+            core = word.lower() if word.isascii() else word
+            ended = len(core) > 1 and core[-1] in ENDS and core[-2].isalpha()
+            cores[word] = (core[:-1], core[-1]) if ended else (core, "")
+        plain = list({c for both in cores.values() for c in both} - self.known.keys())
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for at in range(0, len(plain), 20_000):
             part = plain[at:at + 20_000]
             for word, coded in zip(part, fast(part, add_special_tokens=False)):
                 self.known[word] = np.array(coded.ids, "<u4").tobytes()
-        for word in new:
-            if word not in self.known:
-                self.known[word] = self.known[word.lower()]
-        for word in ended:
-            self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
+        for word, (core, end) in cores.items():
+            self.known[word] = self.known[core] + self.known[end]
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -83,11 +81,10 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = worker_state().get(path) or worker_state().setdefault(path, WordIds(path))
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 200):
-                texts = [t or "" for t in batch.column(1).slice(at, 200).to_pylist()]
+            ids, every = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in slices(np.cumsum([0, *map(len, every)]), STEP_CHARS):
                 rows = []
-                for doc, coded in zip(ids[at:at + 200], coder.encode(texts)):
+                for doc, coded in zip(ids[a:b], coder.encode(every[a:b])):
                     coded += END_ID.to_bytes(4, "little")
                     for piece, start in enumerate(range(0, len(coded) // 4, capacity)):
                         part = coded[4 * start:4 * (start + capacity)]
