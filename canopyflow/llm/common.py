@@ -56,6 +56,15 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
 
 
+def worker_cache(owner, make):
+    """What ``owner`` keeps in a worker; another owner's things go, to save memory."""
+    state = worker_state()
+    if state.get("owner") != owner:
+        state["owner"], state["held"] = owner, None
+        state["held"] = make()
+    return state["held"]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

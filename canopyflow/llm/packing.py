@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyflow.llm.common import ranked, slices, stored, worker_state
+from canopyflow.llm.common import ranked, slices, stored, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -79,7 +79,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = worker_state().get(path) or worker_state().setdefault(path, WordIds(path))
+        coder = worker_cache(("word ids", path), lambda: WordIds(path))
         for batch in batches:
             ids, every = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(np.cumsum([0, *map(len, every)]), STEP_CHARS):

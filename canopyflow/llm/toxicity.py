@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyflow.llm.common import stored, worker_state
+from canopyflow.llm.common import stored, worker_cache
 from canopyflow.llm.langid import code_tables, held_out, text_steps, texts_of
 
 SAMPLE_ROWS = 20_000
@@ -31,7 +31,7 @@ LEAST_DOCS, LEAST_WEIGHT = 4, 1.5
 #: Lengths of word beginnings that are evidence beside whole words.
 BEGINNINGS = (4, 5, 6, 8)
 STEP_CHARS = 4_000_000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 SYMBOLS = 32
 #: What a look-alike may stand for; nothing for a mark put between letters (fixed values).
 LOOKALIKES = {
@@ -243,10 +243,7 @@ def _reading(docs: DataFrame, model: dict, kept: list[str], result: str, kind, v
     own = uuid.uuid4().hex
 
     def read(batches):
-        state = worker_state()
-        if state.get("toxicity_of") != own:
-            state["toxicity"], state["toxicity_of"] = Reader(shared.value), own
-        reader = state["toxicity"]
+        reader = worker_cache(("reader", own), lambda: Reader(shared.value))
         for batch in batches:
             found = [value(reader, t) for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, kind[0])], [*kept, result])
