@@ -37,8 +37,9 @@ def stitch(starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     direction = np.sign(ends - starts)
     unused = set(range(len(starts)))
     rings = []
-    while unused:
-        first = min(unused)
+    for first in range(len(starts)):
+        if first not in unused:
+            continue
         ring, current = [], first
         while True:
             unused.discard(current)

@@ -22,17 +22,19 @@ def read_attributes(features: DataFrame, attrs: str = "attrs") -> DataFrame:
     return features.withColumns({f"attr_{name}": c for name, c in columns.items()})
 
 
-def by_box(parcels: DataFrame, box: tuple[float, float, float, float], limit: int = 25) -> DataFrame:
-    """Parcels whose bounds meet a box, at most 50; the bounds columns are pushed down."""
+def by_box(parcels: DataFrame, box: tuple[float, float, float, float], limit: int | None = None) -> DataFrame:
+    """Parcels whose bounds meet a box; the bounds columns are pushed down."""
     minx, miny, maxx, maxy = box
     hit = ((F.col("xmin") <= maxx) & (F.col("xmax") >= minx) & (F.col("ymin") <= maxy) & (F.col("ymax") >= miny))
-    return parcels.where(hit).orderBy("parcel_id").limit(min(limit, 50))
+    found = parcels.where(hit)
+    return found if limit is None else found.orderBy("parcel_id").limit(limit)
 
 
-def by_code(parcels: DataFrame, code: str, limit: int = 3, attrs: str = "attrs") -> DataFrame:
+def by_code(parcels: DataFrame, code: str, limit: int | None = None, attrs: str = "attrs") -> DataFrame:
     """Parcels carrying a registry code under any of its attribute names."""
     value = F.coalesce(*[F.try_element_at(F.col(attrs), F.lit(a)) for a in K.PARCEL_ALIASES["code"]])
-    return parcels.where(value == code).orderBy("parcel_id").limit(limit)
+    found = parcels.where(value == code)
+    return found if limit is None else found.orderBy("parcel_id").limit(limit)
 
 
 def area_status(area_ha: Column) -> Column:

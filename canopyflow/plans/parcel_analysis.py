@@ -50,11 +50,10 @@ def analyze_observations(observations: DataFrame, keys: Sequence[str], curves: D
 
 
 def select_scenes(scenes: DataFrame, keys: Sequence[str], tie_breaks: Sequence[str],
-                  max_scenes: int = K.MAX_SCENES_PARCEL) -> DataFrame:
-    """Scenes to read per parcel: capped search result, best per day, thinned."""
-    capped = scene_ops.cap_scenes(scenes, keys, ["obs_date", *tie_breaks])
-    best = scene_ops.best_per_day(capped, keys, tie_breaks)
-    return scene_ops.thin_uniformly(best, keys, max_scenes)
+                  max_scenes: int | None = None) -> DataFrame:
+    """Scenes to read per parcel: the best of each day, thinned evenly where a number is given."""
+    best = scene_ops.best_per_day(scenes, keys, tie_breaks)
+    return best if max_scenes is None else scene_ops.thin_uniformly(best, keys, max_scenes)
 
 
 def series_from_pixels(bands: DataFrame, selected: DataFrame, min_pixels: int = K.MIN_PIXELS) -> DataFrame:
@@ -71,7 +70,7 @@ def series_from_pixels(bands: DataFrame, selected: DataFrame, min_pixels: int =
 
 
 def analyze_parcels(bands: DataFrame, scenes: DataFrame, curves: DataFrame, as_of: str,
-                    tie_breaks: Sequence[str] = ("scene_id",), max_scenes: int = K.MAX_SCENES_PARCEL,
+                    tie_breaks: Sequence[str] = ("scene_id",), max_scenes: int | None = None,
                     min_pixels: int = K.MIN_PIXELS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(verdicts, smoothed series, run metadata)`` from pixels and scenes.
 

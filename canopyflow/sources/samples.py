@@ -20,7 +20,9 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     """Table at ``path``, or an empty one when nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

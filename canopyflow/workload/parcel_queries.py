@@ -38,9 +38,9 @@ def t4(spark, sf):
 
 
 @query("src3_parcels_by_box", f"""WITH {V.PARCELS} SELECT parcel_id FROM parcels WHERE xmin <= -55.8 AND xmax >= -56.3
-  AND ymin <= -13.2 AND ymax >= -13.9 ORDER BY parcel_id LIMIT 50""")
+  AND ymin <= -13.2 AND ymax >= -13.9""")
 def src3(spark, sf):
-    return P.by_box(V.parcel_features(spark, sf), (-56.3, -13.9, -55.8, -13.2), 80).select("parcel_id")
+    return P.by_box(V.parcel_features(spark, sf), (-56.3, -13.9, -55.8, -13.2)).select("parcel_id")
 
 
 @query("src4_parcel_by_code", f"WITH {V.PARCELS} SELECT parcel_id FROM parcels WHERE parcel_id = 77")
