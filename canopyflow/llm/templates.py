@@ -86,9 +86,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                   .where(f"matched >= least({NEEDED}, n_windows)"), "matches")
     item = benchmark.select("item_id", words(F.col("text"), True).alias("q"))
     # one row for each placeholder inside a matching window
-    slots = (runs.join(docs.select("doc_id", words(F.col("text"), True).alias("w")), "doc_id").join(item, "item_id")
+    # only texts with a match are split again, and each once
+    held = stored(docs.join(runs.select("doc_id").distinct(), "doc_id", "left_semi"), "matched")
+    slots = (runs.join(held.select("doc_id", words(F.col("text"), True).alias("w")), "doc_id").join(item, "item_id")
              .select(*keys, F.explode(F.expr(f"array_distinct(flatten(transform(places, j -> sequence(j, least(j + {WINDOW - 1}, size(q) - 1)))))")).alias("j"), "q", "w")
              .select(*keys, F.expr("q[j]").alias("asked"), F.expr("w[j + shift]").alias("said")).where("asked like 'µ%'"))
+    slots = stored(slots, "slots")
     torn = slots.groupBy(*keys, "asked").agg(F.count_distinct("said").alias("n")).where("n > 1").select(*keys).union(
         slots.groupBy(*keys, "said").agg(F.count_distinct("asked").alias("n")).where("n > 1").select(*keys)).distinct()
     return (runs.join(torn, keys, "left_anti").groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched")))
