@@ -9,6 +9,7 @@ of these and new sequences.  Texts are tokenised, ranked and placed by Spark.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -51,19 +52,29 @@ class WordIds:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        cores = {}
-        for word in set().union(*split) - self.known.keys():
-            core = word.lower() if word.isascii() else word
-            ended = len(core) > 1 and core[-1] in ENDS and core[-2].isalpha()
-            cores[word] = (core[:-1], core[-1]) if ended else (core, "")
-        plain = list({c for both in cores.values() for c in both} - self.known.keys())
+        known, tokenize, cores = self.known, self.tokenizer.model.tokenize, {}
+        for word in set().union(*split):
+            if word in known:
+                continue
+            core, end = word.lower() if word.isascii() else word, ""
+            if len(core) > 1 and core[-1] in ENDS and core[-2].isalpha():
+                core, end = core[:-1], core[-1]
+            if core not in known and core.isascii() and core.isalpha():
+                # one word of plain letters: neither normalised nor split
+                found = [t.id for t in tokenize(core)]
+                known[core] = struct.pack(f"<{len(found)}I", *found)
+            if core != word:
+                cores[word] = core, end
+            elif core not in known:
+                cores[word] = core, ""
+        other = [c for c in {c for both in cores.values() for c in both} if c not in known]
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(plain), 20_000):
-            part = plain[at:at + 20_000]
+        for at in range(0, len(other), 20_000):
+            part = other[at:at + 20_000]
             for word, coded in zip(part, fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, "<u4").tobytes()
+                known[word] = struct.pack(f"<{len(coded.ids)}I", *coded.ids)
         for word, (core, end) in cores.items():
-            self.known[word] = self.known[core] + self.known[end]
+            known[word] = known[core] + known[end] if end else known[core]
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
