@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import line_dedup, packing, simhash, templates
+from canopyflow.llm import line_dedup, packing, templates, wide_simhash
 from canopyflow.llm import toxicity as toxic
 from canopyflow.llm.common import stored, table
 from canopyflow.llm.langid import held_out
@@ -29,8 +29,9 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """The document with the smallest doc_id of each group of near duplicates: texts
+    whose sets of five-word shingles have a similarity of 0.8 or more, by SimHash."""
+    copies = wide_simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
