@@ -80,10 +80,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows with a null doc_id or text leak nothing, nor do items with null id or
     text; repeated rows count as one document; extra columns are not read.
     """
-    keys = ["doc_id", "item_id", "shift"]
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     runs = stored(matches(docs, benchmark).withColumn("matched", F.expr(_longest_run("places")))
                   .where(f"matched >= least({NEEDED}, n_windows)"), "matches")
+    return _one_to_one(docs, benchmark, runs)
+
+
+def _one_to_one(docs: DataFrame, benchmark: DataFrame, runs: DataFrame) -> DataFrame:
+    """The ``runs`` whose values behind placeholders map one to one, by document and item."""
+    keys = ["doc_id", "item_id", "shift"]
     item = benchmark.select("item_id", words(F.col("text"), True).alias("q"))
     # one row for each placeholder inside a matching window
     # only texts with a match are split again, and each once
@@ -97,6 +102,62 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return (runs.join(torn, keys, "left_anti").groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched")))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that leak an item; rows with a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def plain_words(text):
+    """Literal words: lower case, letters and digits only, nothing replaced."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _pieces(column: str, lengths: list[int]) -> F.Column:
+    """``at, hash`` of every run of each of ``lengths`` words."""
+    return F.expr("concat(cast(array() as array<struct<at:int,hash:bigint>>)" + "".join(f""",
+        transform(if(size({column}) >= {n}, sequence(1, size({column}) - {n - 1}), cast(array() as array<int>)),
+            i -> struct(cast(i - 1 as int) as at, xxhash64(slice({column}, i, {n})) as hash))""" for n in lengths) + ")")
+
+
+def _usable(items: DataFrame, literals: int) -> DataFrame:
+    """``item_id, j, rank, hash, n_windows, n_words`` of the windows of ``items(item_id, w)``
+    with enough literal words; ``rank`` and ``n_windows`` count these alone."""
+    starts = f"""filter(sequence(1, greatest(1, size(w) - {WINDOW - 1})),
+        i -> size(filter(slice(w, i, {WINDOW}), x -> substring(x, 1, 1) <> 'µ')) >= least({literals}, size(w)))"""
+    used = with_array(items.where("size(w) > 0"), "s", F.expr(starts))
+    return (used.select("item_id", "w", F.size("s").alias("n_windows"), F.posexplode("s").alias("rank", "i"))
+            .select("item_id", F.expr("i - 1").alias("j"), "rank", F.expr(f"xxhash64(slice(w, i, {WINDOW}))").alias("hash"),
+                    "n_windows", F.expr(f"least({WINDOW}, size(w))").alias("n_words")))
+
+
+def whole_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, matched`` of ``leaks`` without its gaps.
+
+    An item of fewer than 8 words is found anywhere in a text, windows with too few
+    literal words neither count nor part a run, and a second pass on the words
+    themselves finds items word for word whatever share of them are numbers or
+    names: 13 words in a row, or a whole shorter item.  Nulls and repeated rows as
+    in ``leaks``.
+    """
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
+    alike = _one_to_one(docs, items, _runs_of(docs, items, words(F.col("text")), LITERALS))
+    same = _runs_of(docs, items, plain_words(F.col("text")), 0).select("doc_id", "item_id", "matched")
+    return alike.union(same).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+
+
+def _runs_of(docs: DataFrame, items: DataFrame, split, literals: int) -> DataFrame:
+    """``doc_id, item_id, shift, places, matched``: long enough runs of windows of ``items`` in ``docs``."""
+    items = stored(_usable(with_array(items, "w", split), literals), "usable")
+    lengths = sorted(r.n_words for r in items.select("n_words").distinct().collect())
+    wanted = items.select("hash").distinct()
+    wanted = F.broadcast(wanted) if items.count() <= MAX_BROADCAST else wanted
+    found = (with_array(docs, "w", split).select("doc_id", F.explode(_pieces("w", lengths)).alias("p"))
+             .select("doc_id", F.col("p.at").alias("i"), F.col("p.hash").alias("hash")).join(wanted, "hash"))
+    met = (found.join(items, "hash").groupBy("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift"), "n_windows")
+           .agg(F.array_sort(F.collect_set(F.struct("rank", "j"))).alias("met")))
+    runs = (with_array(met, "ranks", F.col("met.rank")).withColumn("matched", F.expr(_longest_run("ranks")))
+            .where(f"matched >= least({NEEDED}, n_windows)"))
+    return stored(runs.select("doc_id", "item_id", "shift", F.col("met.j").alias("places"), "matched"), "runs")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
+    """``docs`` without the rows that leak an item, with ``whole`` by ``whole_leaks``;
+    rows with a null doc_id stay."""
+    found = whole_leaks(docs, benchmark) if whole else leaks(docs, benchmark)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -36,8 +36,8 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    return templates.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that leak no benchmark item, as a template or word for word."""
+    return templates.decontaminated(docs, table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
