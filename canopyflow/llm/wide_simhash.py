@@ -2,14 +2,18 @@
 
 Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ
 in about 39 of 256 fingerprint bits (deviation 6), too many for the 64-bit form in
-``simhash``, where three bits stand for all but equal texts.  Here eight segments
+``simhash``, where three bits stand for all but equal texts.  Here twelve segments
 of 20 bits are looked up: both sides enumerate their Hamming ball of radius one,
-so fingerprints at two or fewer bits in any segment meet, and whole distances
-are then verified.
-
-By the binomial law a pair at similarity 0.8 is looked up with probability 0.98
-and lies within ``MAX_BITS`` with 0.95; both rise quickly above 0.8.  Some pairs
-between 0.6 and 0.8 link as well.  The README gives measured figures.
+so fingerprints at two or fewer bits in any segment meet.  Pairs within
+``MAX_BITS`` are candidates only; each is verified on the two shingle sets, and
+those at ``SIMILARITY`` or more are linked.
+
+By the binomial law a pair of long texts at similarity 0.8 is a candidate with
+probability 0.998, one of some ten words with 0.97 (an even number of shingles
+shifts the majority); both rise quickly above 0.8.  Nothing below 0.8 is linked.
+Links join to components, so a text may go for one that went itself.  Pairs
+inside a component need no look: a first pass gives every node few of its
+candidates, and a second lists all that are left between components of the first.
 """
 
 from __future__ import annotations
@@ -20,15 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyflow.llm.common import stored, utf8
+from canopyflow.llm.common import stored, text_key, utf8
 from canopyflow.llm.linked import components
-from canopyflow.llm.simhash import _lowest_linked
 
 WORDS = 5
 SEED = 42
 BYTES = 32
-MAX_BITS = 48
-SEGMENTS, SEGMENT_BITS = 8, 20
+#: A text as a node: its fingerprint, a hash of its shingle set, its number of shingles.
+NODE_BYTES = BYTES + 8 + 4
+#: A node with a number that is equal for nodes known to be linked.
+ROW_BYTES = NODE_BYTES + 8
+#: Bits up to which a pair is a candidate, and up to which it most likely links.
+MAX_BITS, LIKELY_BITS = 72, 39
+#: Least share of common shingles of a link, as a fraction.
+SIMILARITY = (4, 5)
+SEGMENTS, SEGMENT_BITS = 12, 20
 #: Rows of a bucket up to which each is compared with all that follow it.
 SMALL = 64
 #: Fingerprints of a larger bucket that are compared in one step.
@@ -44,15 +54,19 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def fingerprint(text: bytes, words_per_shingle: int = WORDS) -> bytes:
-    """SimHash of the distinct word shingles; all zero without words."""
+def shingle_hashes(text: bytes, words_per_shingle: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct word shingles, sorted; none without words."""
     words = text.lower().split()
     if not words:
-        return bytes(BYTES)
+        return np.zeros(0, np.uint64)
     n = words_per_shingle
     shingles = map(b" ".join, zip(*(words[k:] for k in range(n)))) if len(words) >= n else [b" ".join(words)]
     digest = xxhash.xxh64_digest
-    hashes = np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint64))
+    return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint64))
+
+
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """SimHash of shingle hashes; all zero without any."""
     lanes = np.arange(1, BYTES // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(8 * BYTES, np.int64)
     for at in range(0, len(hashes), STEP):
@@ -61,26 +75,52 @@ def fingerprint(text: bytes, words_per_shingle: int = WORDS) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
-    """``doc_id, fp`` (binary)."""
+def node(text: bytes, words_per_shingle: int = WORDS) -> bytes:
+    hashes = shingle_hashes(text, words_per_shingle)
+    return fingerprint(hashes) + xxhash.xxh64_digest(hashes.tobytes(), SEED) + len(hashes).to_bytes(4, "little")
+
+
+def _texts(column: pa.Array):
+    flat, offsets = utf8(column)
+    flat = flat.tobytes()
+    return (flat[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
+
+
+def nodes(docs: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
+    """``doc_id, tag, fp`` (binary): the node of each text, and a key of the text."""
 
     def hashed(batches):
         for batch in batches:
-            flat, offsets = utf8(batch.column(1))
-            flat = flat.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()),
-                 pa.array([fingerprint(flat[a:b], words_per_shingle) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
-                ["doc_id", "fp"])
+                [batch.column(0).cast(pa.int64()), batch.column(1),
+                 pa.array([node(t, words_per_shingle) for t in _texts(batch.column(2))], pa.binary())], ["doc_id", "tag", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp binary")
+    return docs.select("doc_id", text_key().alias("tag"), "text").mapInArrow(hashed, "doc_id long, tag long, fp binary")
 
 
-def buckets(fps: np.ndarray) -> np.ndarray:
-    """Bucket numbers of each row of ``fps`` (uint8, 32 columns): for each segment its
-    value and those one bit away."""
+def shingle_sets(docs: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
+    """``fp, hashes`` of each text of ``docs(fp, text)``."""
+
+    def hashed(batches):
+        for batch in batches:
+            for k, text in enumerate(_texts(batch.column(1))):
+                hashes = pa.array(shingle_hashes(text, words_per_shingle).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), hashes)], ["fp", "hashes"])
+
+    return docs.select("fp", "text").mapInArrow(hashed, "fp binary, hashes array<bigint>")
+
+
+def segments(fps: np.ndarray) -> np.ndarray:
+    """Segment values of each row of ``fps``."""
     bits = np.unpackbits(fps[:, :SEGMENTS * SEGMENT_BITS // 8], axis=1).reshape(-1, SEGMENTS, SEGMENT_BITS)
-    value = bits.astype(np.int64) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
+    return bits.astype(np.int64) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
+
+
+def buckets(fps: np.ndarray) -> np.ndarray:
+    """Bucket numbers of each row of ``fps`` (uint8): for each segment its value and
+    those one bit away."""
+    value = segments(fps)
     ball = np.r_[0, 1 << np.arange(SEGMENT_BITS, dtype=np.int64)]
     return ((value[:, :, None] ^ ball) + (np.arange(SEGMENTS, dtype=np.int64)[:, None] << SEGMENT_BITS)).reshape(len(fps), -1)
 
@@ -90,9 +130,9 @@ def _fps(column: pa.Array) -> np.ndarray:
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     if not len(column):
-        return np.zeros((0, BYTES), np.uint8)
+        return np.zeros((0, ROW_BYTES), np.uint8)
     where = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[where[0]:where[-1]].reshape(-1, BYTES)
+    return np.frombuffer(data, np.uint8)[where[0]:where[-1]].reshape(-1, ROW_BYTES)
 
 
 def _looked_up(batches):
@@ -107,34 +147,26 @@ def _looked_up(batches):
 
 def _binary(fps: np.ndarray) -> pa.Array:
     """Rows of bytes as a binary column."""
-    offsets = np.arange(len(fps) + 1, dtype=np.int32) * BYTES
+    offsets = np.arange(len(fps) + 1, dtype=np.int32) * fps.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(fps), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(fps))])
 
 
-def _large(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs that connect what close pairs of a large bucket connect, one at
-    most for each row and pair of blocks."""
-    out = []
-    for i in range(0, len(fps), BLOCK):
-        for j in range(i, len(fps), BLOCK):
-            rows = np.arange(i, min(i + BLOCK, len(fps)))
-            if j > i:
-                rows = np.r_[rows, np.arange(j, min(j + BLOCK, len(fps)))]
-            own = fps[rows]
-            far = sum(np.bitwise_count(own[:, None, k] ^ own[None, :, k]).astype(np.int16) for k in range(own.shape[1]))
-            first = _lowest_linked(far <= MAX_BITS)
-            rest = first != np.arange(len(rows))
-            out.append((rows[rest], rows[first[rest]]))
-    return out
+def _large(words: np.ndarray):
+    """The close row pairs of a large bucket, a pair of blocks at a time."""
+    for i in range(0, len(words), BLOCK):
+        for j in range(i, len(words), BLOCK):
+            above, below = words[i:i + BLOCK], words[j:j + BLOCK]
+            far = sum(np.bitwise_count(above[:, None, k] ^ below[None, :, k]).astype(np.int16) for k in range(words.shape[1]))
+            a, b = np.nonzero(np.triu(far <= MAX_BITS, 1) if i == j else far <= MAX_BITS)
+            yield a + i, b + j
 
 
-def linked_rows(bucket: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that link the close fingerprints of each bucket; rows come sorted by bucket."""
-    words = np.ascontiguousarray(fps).view(np.uint64)
+def close_pairs(bucket: np.ndarray, fps: np.ndarray):
+    """Steps of the row pairs of each bucket within ``MAX_BITS``; rows come sorted by bucket."""
+    words = np.ascontiguousarray(fps[:, :BYTES]).view(np.uint64)
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
     length = np.diff(np.r_[start, len(bucket)])
     size = np.repeat(length, length)
-    found = [(np.zeros(0, int), np.zeros(0, int))]
     small = np.flatnonzero((size > 1) & (size <= SMALL))
     end = np.repeat(start + length, length)
     for lag in range(1, SMALL):
@@ -142,50 +174,113 @@ def linked_rows(bucket: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.nda
         if not len(small):
             break
         close = np.bitwise_count(words[small] ^ words[small + lag]).sum(1) <= MAX_BITS
-        found.append((small[close], small[close] + lag))
+        yield small[close], small[close] + lag
     for s, n in zip(start[length > SMALL], length[length > SMALL]):
-        found += [(s + a, s + b) for a, b in _large(words[s:s + n])]
-    a, b = (np.concatenate(x) for x in zip(*found))
-    return a, b
+        for a, b in _large(words[s:s + n]):
+            yield s + a, s + b
 
 
-def _match(batches):
-    kept_bucket, kept = np.zeros(0, np.int64), np.zeros((0, BYTES), np.uint8)
+def linked_rows(bucket: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All row pairs of ``close_pairs``."""
+    a, b = (np.concatenate(x) for x in zip((np.zeros(0, int), np.zeros(0, int)), *close_pairs(bucket, fps)))
+    return a, b
 
-    def links(bucket, fps):
-        a, b = linked_rows(bucket, fps)
-        return pa.RecordBatch.from_arrays([_binary(fps[a]), _binary(fps[b])], ["a", "b"])
 
-    for batch in batches:
-        bucket = np.concatenate([kept_bucket, batch.column(0).to_numpy()])
-        fps = np.concatenate([kept, _fps(batch.column(1))])
-        if not len(bucket):
-            continue
-        last = int(np.searchsorted(bucket, bucket[-1], "left"))
-        kept_bucket, kept = bucket[last:], fps[last:]
-        yield links(bucket[:last], fps[:last])
-    yield links(kept_bucket, kept)
-
-
-def links_of(fps: DataFrame) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints of ``fps(fp)``."""
-    return (fps.select("fp").mapInArrow(_looked_up, "bucket long, fp binary")
+def wanted_pairs(bucket: np.ndarray, fps: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a pair has different labels, may reach ``SIMILARITY`` by its numbers of
+    shingles, and meets in this bucket's segment first (and, with equal values, in
+    the bucket of the value)."""
+    n = np.ascontiguousarray(fps[:, BYTES + 8:NODE_BYTES]).view(np.uint32).ravel().astype(np.int64)
+    near = np.bitwise_count(value[a] ^ value[b]) <= 2
+    at = bucket[a] >> SEGMENT_BITS
+    own = value[a, at]
+    home = (own != value[b, at]) | (own == bucket[a] & (1 << SEGMENT_BITS) - 1)
+    p, q = SIMILARITY
+    label = np.ascontiguousarray(fps[:, NODE_BYTES:]).view(np.uint64).ravel()
+    return (near.argmax(1) == at) & home & (label[a] != label[b]) & (q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b]))
+
+
+def few(fps: np.ndarray, steps):
+    """Of steps of row pairs, those that are the first of either row, among all pairs
+    and among the likely ones: every row with a pair stays in one."""
+    words = np.ascontiguousarray(fps[:, :BYTES]).view(np.uint64)
+    met = [np.zeros(len(fps), bool), np.zeros(len(fps), bool)]
+    for a, b in steps:
+        likely = np.bitwise_count(words[a] ^ words[b]).sum(1) <= LIKELY_BITS
+        kept = np.zeros(len(a), bool)
+        for seen, of in zip(met, (np.arange(len(a)), np.flatnonzero(likely))):
+            for x in (a, b):
+                fresh = of[~seen[x[of]]]
+                kept[fresh[np.unique(x[fresh], return_index=True)[1]]] = True
+            seen[a[of]] = seen[b[of]] = True
+        yield a[kept], b[kept]
+
+
+def _matcher(every: bool):
+    def links(bucket, fps):
+        value = segments(fps)
+        steps = ((a[w], b[w]) for a, b in close_pairs(bucket, fps) for w in [wanted_pairs(bucket, fps, value, a, b)])
+        for a, b in steps if every else few(fps, steps):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([_binary(fps[a, :NODE_BYTES]), _binary(fps[b, :NODE_BYTES])], ["a", "b"])
+
+    def match(batches):
+        kept_bucket, kept = np.zeros(0, np.int64), np.zeros((0, ROW_BYTES), np.uint8)
+        for batch in batches:
+            bucket = np.concatenate([kept_bucket, batch.column(0).to_numpy()])
+            fps = np.concatenate([kept, _fps(batch.column(1))])
+            if not len(bucket):
+                continue
+            last = int(np.searchsorted(bucket, bucket[-1], "left"))
+            kept_bucket, kept = bucket[last:], fps[last:]
+            yield from links(bucket[:last], fps[:last])
+        yield from links(kept_bucket, kept)
+
+    return match
+
+
+def candidates(labelled: DataFrame, every: bool) -> DataFrame:
+    """Pairs ``a, b`` (a < b) of close nodes of ``labelled(fp, label)`` with different
+    labels: all, or few of each node but one at least."""
+    rows = labelled.select(F.concat("fp", F.unhex(F.lpad(F.hex(F.xxhash64("label")), 16, "0"))).alias("fp"))
+    return (rows.mapInArrow(_looked_up, "bucket long, fp binary")
             .repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(_match, "a binary, b binary").distinct())
+            .mapInArrow(_matcher(every), "a binary, b binary")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` whose sets of ``sets(fp, hashes)`` have at least ``SIMILARITY`` in common."""
+    both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a")
+            .join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b"))
+    p, q = SIMILARITY
+    common = F.size(F.array_intersect("x", "y"))
+    return (both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
+            .where(f"{q} * common >= {p} * (total - common)").select("a", "b"))
 
 
 def near_copies(docs: DataFrame, words_per_shingle: int = WORDS) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs``: the smallest doc_id reachable
     over links, itself included.
 
-    Equal texts have equal fingerprints and meet before any look-up.  Fewer words
+    Texts with equal shingle sets are one node before any look-up.  Fewer words
     than a shingle make one shingle; null and blank texts are copies of each other.
     A null doc_id stays null and is never the smallest; repeated rows are all
     returned; an empty table gives an empty one; extra columns are not read.
     """
-    hashed = stored(fingerprints(docs, words_per_shingle), "wide-fingerprints")
-    distinct = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "wide-distinct")
-    label = components(links_of(distinct))
+    hashed = stored(nodes(docs, words_per_shingle), "wide-nodes")
+    distinct = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag")), "wide-distinct")
+    pairs = stored(candidates(distinct.select("fp", F.col("fp").alias("label")), False), "wide-candidates")
+    paired = stored(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "wide-paired")
+    # only texts with a candidate are read again, each once
+    texts = (docs.select(text_key().alias("tag"), "text").join(distinct.join(paired, "fp").select("fp", "tag"), "tag")
+             .dropDuplicates(["fp"]))
+    sets = stored(shingle_sets(texts, words_per_shingle), "wide-sets")
+    links = stored(verified(pairs, sets), "wide-links")
+    labelled = (paired.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+                .select("fp", F.coalesce("label", "fp").alias("label")))
+    between = stored(candidates(labelled, True).join(pairs, ["a", "b"], "left_anti"), "wide-candidates")
+    label = components(links.union(stored(verified(between, sets), "wide-links")))
     of = stored(distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left")
                 .select("fp", F.coalesce("label", "fp").alias("label"), "least"), "wide-labelled")
     lowest = of.groupBy("label").agg(F.min("least").alias("component_id"))
