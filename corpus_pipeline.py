@@ -23,8 +23,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated line runs; ``n_chars`` follows the text."""
-    out = line_dedup.remove_repeated_lines(docs, count=None)
+    """Texts without later copies of repeated line runs and of single lines of ten words
+    or more; ``n_chars`` follows the text."""
+    out = line_dedup.remove_repeated_lines(docs, count=None, long_words=10)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
 
 
