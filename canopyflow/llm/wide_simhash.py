@@ -14,6 +14,7 @@ shifts the majority); both rise quickly above 0.8.  Nothing below 0.8 is linked.
 Links join to components, so a text may go for one that went itself.  Pairs
 inside a component need no look: a first pass gives every node few of its
 candidates, and a second lists all that are left between components of the first.
+The second still grows with the square of a group of texts somewhat below 0.8.
 """
 
 from __future__ import annotations
