@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import (ann, langid, line_dedup, packing, sharding, simhash, substring_dedup, suffix_dedup,
-                            templates, toxicity)
+from canopyflow.llm import (ann, collocations, divergence, langid, line_dedup, packing, quality, sharding, simhash,
+                            substring_dedup, suffix_dedup, templates, toxicity)
 from canopyflow.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_suffix_array_dedup, op3_line_dedup, op4_simhash_near_dedup, op5_toxicity,
     op6_benchmark_decontamination, op7_substring_dedup, op8_sharding, op9_approximate_nearest_neighbours,
-    op10_language_id, pipeline)}
+    op10_language_id, op11_phrase_collocations, op12_quality_classifier, op13_source_divergence, pipeline)}
 
 OP2_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -137,5 +149,50 @@ torn AS (SELECT doc_id, item_id, shift FROM slots GROUP BY doc_id, item_id, shif
 SELECT doc_id, item_id, max(matched)::INT AS matched FROM best ANTI JOIN torn USING (doc_id, item_id, shift) GROUP BY doc_id, item_id
 """
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+s AS (SELECT lang, ws, unnest([1, 2, 3, 4, 5]) AS size FROM w),
+i AS (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM s WHERE len(ws) >= size),
+f AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS a FROM i GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+x AS (SELECT lang, a, size, ws, unnest(range(1, size + 1)) AS b FROM c),
+y AS (SELECT lang, a, ws, size, b, unnest(range(b + 1, size + 1)) AS e FROM x),
+sub AS (SELECT lang, array_to_string(ws[b:e], ' ') AS phrase, max(a) AS longer FROM y WHERE e - b + 1 < size GROUP BY ALL),
+kept AS (SELECT c.* FROM c ANTI JOIN sub ON c.lang = sub.lang AND c.phrase = sub.phrase AND 100 * sub.longer >= 100 * c.a),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM kept),
+cut AS (SELECT k.lang, k.phrase, k.a, k, l.a AS l, r.a AS r, n,
+               (1000::HUGEINT * k.a * n) // (l.a::HUGEINT * r.a) AS score
+        FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+               JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k + 1:k.size], ' ') JOIN t ON t.lang = k.lang),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+keep AS (SELECT lang, term, count(*) AS m FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN keep USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(m) AS nl FROM keep GROUP BY lang),
+t AS (SELECT lang, source, coalesce(sum(n), 0) AS nt FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 1)::HUGEINT) // (nt + v)::HUGEINT AS p,
+             1 + (1000000000 * (m + 1)::HUGEINT) // (nl + v)::HUGEINT AS q
+      FROM t JOIN v USING (lang) JOIN keep USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value::BIGINT, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 200
+"""
+
 ORACLES = {"op2_suffix_array_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL,
-           "op7_substring_dedup": OP7_SQL}
+           "op7_substring_dedup": OP7_SQL, "op11_phrase_collocations": OP11_SQL, "op13_source_divergence": OP13_SQL}
