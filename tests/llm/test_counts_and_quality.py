@@ -77,15 +77,20 @@ def test_collocations_do_not_depend_on_steps(odd, monkeypatch):
     want = sorted(map(tuple, collocations.collocations(odd, 3).collect()))
     monkeypatch.setattr(collocations, "STEP_BYTES", 200)
     monkeypatch.setattr(collocations, "STRIPE_CELLS", 2)
-    monkeypatch.setattr(collocations, "FILTER_BITS", 64)
+    monkeypatch.setattr(collocations, "HELD_CELLS", 30)
+    monkeypatch.setattr(collocations, "SEGMENTS", 4)
+    monkeypatch.setattr(collocations, "LEAST_BUCKETS", 64)
+    monkeypatch.setattr(collocations, "MOST_BUCKETS", 64)
     assert sorted(map(tuple, collocations.collocations(odd.repartition(1), 3).collect())) == want
 
 
-def test_stripes_are_cut_and_filtered(odd):
-    rows = collocations.partial_stripes(odd, 2).collect()
-    assert all(len(r.words) == len(r.counts) > 0 for r in rows)
-    none = np.zeros(collocations.FILTER_BITS, bool)
-    assert collocations.partial_stripes(odd, 2, none).count() == 0
+def test_buckets_drop_rare_phrases_only(odd):
+    bits = collocations.full_buckets(odd, range(1, 3), 1 << 16, {}, 50)
+    passed = collocations.merged(collocations.partial_stripes(odd, 2, 1 << 16, {1: bits, 2: bits}))
+    every = collocations.merged(collocations.partial_stripes(odd, 2, 1 << 16, {}))
+    frequent = {tuple(r) for r in every.where("n >= 50").collect()}
+    assert frequent <= {tuple(r) for r in passed.collect()} <= {tuple(r) for r in every.collect()}
+    assert passed.where("size > 0").count() < every.where("size > 0").count() // 4
 
 
 def divergence_by_hand(rows, least_docs, top):
