@@ -1,8 +1,9 @@
 """Spatial joins on coarse buckets: an equi-join narrows, exact geometry decides.
 
 Parcels are limited to 200 000 ha (``area_status``), so with the default bucket
-a parcel is listed in a few dozen buckets at most.  Buckets can be crowded with
-cells or clicks, therefore all of these are skew joins.
+a parcel is listed in a few dozen buckets at most.  Crowded buckets of clicks or
+scenes are left to Spark's adaptive skew join, which needs no pass of its own over
+the input.  Cells of a raster are better served by ``scanline``.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def scenes_over_parcels(scenes: DataFrame, parcels: DataFrame, start: str, end:
     left = _spread_over_buckets(wanted, bucket).withColumnsRenamed(
         {"xmin": "s_xmin", "ymin": "s_ymin", "xmax": "s_xmax", "ymax": "s_ymax"})
     right = _spread_over_buckets(parcels, bucket)
-    pairs = skew_join(left, right, ["bx", "by"], spread=["scene_id"])
+    pairs = left.join(right, ["bx", "by"])
     overlap = ((F.col("s_xmin") <= F.col("xmax")) & (F.col("s_xmax") >= F.col("xmin"))
                & (F.col("s_ymin") <= F.col("ymax")) & (F.col("s_ymax") >= F.col("ymin")))
     corner = ((_bucket(F.greatest("s_xmin", "xmin"), bucket) == F.col("bx"))
@@ -71,7 +72,7 @@ def pick_parcel(clicks: DataFrame, parcels: DataFrame, keys: Sequence[str] = ("c
     """
     placed = clicks.withColumns({"bx": _bucket(F.col("x"), bucket), "by": _bucket(F.col("y"), bucket)})
     listed = _spread_over_buckets(parcels, bucket, tolerance)
-    near = skew_join(placed, listed, ["bx", "by"], spread=list(keys)).where(
+    near = placed.join(listed, ["bx", "by"]).where(
         (F.col("xmin") <= F.col("x") + tolerance) & (F.col("xmax") >= F.col("x") - tolerance)
         & (F.col("ymin") <= F.col("y") + tolerance) & (F.col("ymax") >= F.col("y") - tolerance))
     hit = R.contains_point("rings", "x", "y")

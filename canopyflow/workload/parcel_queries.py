@@ -9,7 +9,7 @@ from canopyflow.functions import rings as R
 from canopyflow.functions.geodesy import _ALPHA, _E, _RECT, FALSE_EAST, FALSE_NORTH, SCALE
 from canopyflow.operators import parcels as P
 from canopyflow.operators import scenes as SC
-from canopyflow.operators import spatial
+from canopyflow.operators import scanline, spatial
 from canopyflow.operators.regions import min_region_pixels
 from canopyflow.workload import views as V
 from canopyflow.workload.registry import query
@@ -206,14 +206,69 @@ def boxes(spark, sf):
     return located(spark, sf).select("parcel_id", "xmin", "ymin", "xmax", "ymax", "rings")
 
 
-@query("j1_cells_in_parcels", f"""WITH {V.PARCELS}, {_POINTS} SELECT parcel_id, count(*) AS n, sum(point_id)::BIGINT AS ids
-  FROM points JOIN parcels ON x + 0.0004::DOUBLE >= xmin AND x - 0.0004::DOUBLE <= xmax AND y + 0.0004::DOUBLE >= ymin
-    AND y - 0.0004::DOUBLE <= ymax WHERE {HAS_RINGS} GROUP BY 1""")
+# parcel outlines in fractions of their bounds: concave, with a hole, of two parts, and with a notch
+SHAPES = [
+    [[(0.013, 0.021), (0.987, 0.021), (0.987, 0.473), (0.412, 0.473), (0.412, 0.968), (0.013, 0.968)]],
+    [[(0.031, 0.217), (0.713, 0.019), (0.981, 0.779), (0.283, 0.973)], [(0.381, 0.407), (0.619, 0.353), (0.673, 0.597), (0.419, 0.641)]],
+    [[(0.017, 0.029), (0.447, 0.071), (0.123, 0.951)], [(0.563, 0.519), (0.971, 0.547), (0.943, 0.983), (0.557, 0.939)]],
+    [[(0.023, 0.037), (0.961, 0.511), (0.043, 0.977), (0.471, 0.499)]],
+]
+LATTICE = (-57.0, -14.0, 0.001)
+_SHAPE_EDGES = ", ".join(
+    f"({k}, {', '.join(f'{v}::DOUBLE' for v in (*a, *b))})" for k, rings in enumerate(SHAPES) for ring in rings
+    for a, b in zip(ring, [*ring[1:], ring[0]]))
+
+
+def shaped(spark, sf):
+    """Parcels with one of the four outlines."""
+    def ring(points):
+        at = lambda low, high, f: F.col(low) + (F.col(high) - F.col(low)) * F.lit(f)
+        return F.array(*[F.array(at("xmin", "xmax", x), at("ymin", "ymax", y)) for x, y in [*points, points[0]]])
+
+    kinds = [F.array(*[ring(r) for r in rings]) for rings in SHAPES]
+    pick = F.coalesce(*[F.when(F.col("parcel_id") % len(kinds) == k, rings) for k, rings in enumerate(kinds)])
+    return V.parcels(spark, sf).select("parcel_id", pick.alias("rings"))
+
+
+def lattice_cells(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"),
+                     (F.col("l_partkey") * 7919 % 2100).alias("px"), (F.col("l_orderkey") * 104729 % 1900).alias("py"))
+
+
+_LATTICE_EDGES = f"""shape(kind, xa, ya, xb, yb) AS (VALUES {_SHAPE_EDGES}),
+  edges AS (SELECT parcel_id, (xmin + (xmax - xmin) * xa - {LATTICE[0]}::DOUBLE) / {LATTICE[2]}::DOUBLE AS ua,
+    (ymin + (ymax - ymin) * ya - {LATTICE[1]}::DOUBLE) / {LATTICE[2]}::DOUBLE AS va,
+    (xmin + (xmax - xmin) * xb - {LATTICE[0]}::DOUBLE) / {LATTICE[2]}::DOUBLE AS ub,
+    (ymin + (ymax - ymin) * yb - {LATTICE[1]}::DOUBLE) / {LATTICE[2]}::DOUBLE AS vb FROM parcels JOIN shape ON kind = parcel_id % 4),
+  box AS (SELECT parcel_id, min(least(ua, ub)) AS u0, max(greatest(ua, ub)) AS u1, min(least(va, vb)) AS v0, max(greatest(va, vb)) AS v1
+    FROM edges GROUP BY 1)"""
+_TOUCHES = f"""bool_or({scanline.edge_meets_cell('px', 'py')}) OR
+  sum(CASE WHEN (va > py + 0.5::DOUBLE) <> (vb > py + 0.5::DOUBLE)
+           AND px + 0.5::DOUBLE < (ub - ua) * ((py + 0.5::DOUBLE) - va) / (vb - va) + ua THEN 1 ELSE 0 END) % 2 = 1"""
+
+
+@query("j1_cells_in_parcels", f"""WITH {V.PARCELS}, {_LATTICE_EDGES},
+  cells AS (SELECT row_number() OVER () AS rid, l_orderkey * 10 + l_linenumber AS point_id, l_partkey * 7919 % 2100 AS px, l_orderkey * 104729 % 1900 AS py FROM lineitem),
+  near AS (SELECT * FROM cells JOIN box ON px + 1 >= u0 AND px <= u1 AND py + 1 >= v0 AND py <= v1),
+  hits AS (SELECT parcel_id, point_id FROM near JOIN edges USING (parcel_id) GROUP BY 1, 2, rid, px, py HAVING {_TOUCHES})
+SELECT parcel_id, count(*) AS n, sum(point_id)::BIGINT AS ids FROM hits GROUP BY 1""")
 def j1(spark, sf):
-    pairs = spatial.cells_in_parcels(points(spark, sf), boxes(spark, sf), 0.0008)
+    pairs = scanline.cells_touched(lattice_cells(spark, sf), shaped(spark, sf), LATTICE[:2], LATTICE[2])
     return pairs.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").alias("ids"))
 
 
+@query("j1_parcel_runs", f"""WITH {V.PARCELS}, {_LATTICE_EDGES},
+  cells AS (SELECT *, unnest(range(CAST(ceil(u0 - 1) AS BIGINT), CAST(floor(u1) AS BIGINT) + 1)) AS px FROM (
+    SELECT *, unnest(range(CAST(ceil(v0 - 1) AS BIGINT), CAST(floor(v1) AS BIGINT) + 1)) AS py FROM box)),
+  hits AS (SELECT parcel_id, px, py FROM cells JOIN edges USING (parcel_id) GROUP BY 1, 2, 3 HAVING {_TOUCHES})
+SELECT parcel_id, py, min(px) AS x0, max(px) AS x1 FROM (SELECT *, px - row_number() OVER (PARTITION BY parcel_id, py ORDER BY px) AS island
+  FROM hits) GROUP BY parcel_id, py, island""")
+def j1_runs(spark, sf):
+    edges = scanline.lattice_edges(shaped(spark, sf), ["parcel_id"], *map(F.lit, (*LATTICE[:2], LATTICE[2], LATTICE[2])))
+    return scanline.touched_runs(edges, ["parcel_id"])
+
+
 @query("j2_scenes_over_parcels", f"""WITH {V.PARCELS}, {V.SCENES} SELECT parcel_id, count(*) AS n, sum(scene_id)::BIGINT AS ids
   FROM scenes s JOIN parcels p ON s.xmin <= p.xmax AND s.xmax >= p.xmin AND s.ymin <= p.ymax AND s.ymax >= p.ymin
   WHERE cloud < 70 AND obs_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY 1""")
