@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow.operators.skew import HOT_SHARE, MIN_HOT_ROWS, salted_join
-from canopyflow.session import cut_lineage
+from canopyflow.session import cut_lineage, rounds
 
 
 def _with_smallest(edges: DataFrame, keys: Sequence[str], n_edges: int) -> DataFrame:
@@ -57,18 +57,19 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
     ``edges(keys, a, b)`` may come in any direction and with repeats.
     """
     keys = list(keys)
-    current = cut_lineage(edges.where(F.col("a") != F.col("b"))
+    with rounds(nodes.sparkSession) as written:
+        current = written(edges.where(F.col("a") != F.col("b"))
                           .select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(current)
-    for _ in range(max_rounds):
-        n_edges = state[0]
-        wide = cut_lineage(_large_star(current, keys, n_edges))
-        current = cut_lineage(_small_star(wide, keys, 2 * n_edges))
-        before, state = state, _state(current)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    labels = current.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
-    return (nodes.join(labels, [*keys, "node"], "left")
-            .withColumn("label", F.coalesce("root", "node")).drop("root"))
+        state = _state(current)
+        for _ in range(max_rounds):
+            n_edges = state[0]
+            wide = written(_large_star(current, keys, n_edges))
+            current = written(_small_star(wide, keys, 2 * n_edges))
+            before, state = state, _state(current)
+            if state == before:
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        labels = current.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
+        return cut_lineage(nodes.join(labels, [*keys, "node"], "left")
+                           .withColumn("label", F.coalesce("root", "node")).drop("root"))

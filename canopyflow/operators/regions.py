@@ -89,12 +89,11 @@ def _touching(runs: DataFrame, keys: Sequence[str], diagonal: bool, cols: Sequen
 def label_regions(runs: DataFrame, keys: Sequence[str] = tuple(MASK), diagonal: bool = False) -> DataFrame:
     """Runs with ``region_id``, the smallest cell number of their connected region."""
     valued = runs if "value" in runs.columns else runs.withColumn("value", F.lit(1))
-    # runs and labels are read several times, so both are written once
+    # runs are read several times, so they are written once
     numbered = cut_lineage(valued.withColumn("node", cell_number("x0", "py")))
     pairs = _touching(numbered, keys, diagonal, ["node", "value"]).where(F.col("value_a") == F.col("value_b"))
     edges = pairs.select(*keys, F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    labelled = cut_lineage(connected_components(numbered, edges, keys)
-                           .withColumnRenamed("label", "region_id").drop("node"))
+    labelled = connected_components(numbered, edges, keys).withColumnRenamed("label", "region_id").drop("node")
     return labelled if "value" in runs.columns else labelled.drop("value")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyflow.operators.skew import skew_join
+from canopyflow.operators.fragments import connected_segments
 from canopyflow.session import cut_lineage, lay_out
 
 UNIT = 64
@@ -30,28 +30,33 @@ def stretch_bands(bands: DataFrame, keys: tuple[str, ...] = ("parcel_id", "band"
     counts = bands.where(F.col("value") > 0).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     limits = counts.groupBy(*keys).agg(
         F.percentile("value", F.array(F.lit(low), F.lit(high)), F.col("n")).alias("p"), F.sum("n").alias("cells"))
-    joined = skew_join(bands, limits, list(keys), spread=["px", "py"], how="left")
+    joined = bands.join(limits, list(keys), "left")
     lo, hi = F.col("p")[0], F.col("p")[1]
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - lo) / F.greatest(hi - lo, F.lit(1e-6))))
     usable = F.coalesce(F.col("cells") >= MIN_STRETCH_CELLS, F.lit(False))
     return joined.withColumn("stretched", F.when(usable, F.floor(share * 255).cast("int")).otherwise(0)).drop("p", "cells")
 
 
-def segment_count(mask_pixels: Column) -> Column:
-    return F.greatest(F.lit(60), F.least(F.lit(800), F.floor(mask_pixels / 40)))
+def segment_count(mask_pixels: Column, pixels_per_segment: int = 40, fewest: int = 60, most: int | None = None) -> Column:
+    """Segments of a parcel: as many as its mask has room for, at least ``fewest``."""
+    wanted = F.greatest(F.lit(fewest), F.floor(mask_pixels / pixels_per_segment))
+    return wanted if most is None else F.least(F.lit(most), wanted)
 
 
-def superpixels(rgb: DataFrame, mask: DataFrame, compactness: float = 10.0, rounds: int = 5) -> DataFrame:
+def superpixels(rgb: DataFrame, mask: DataFrame, compactness: float = 10.0, rounds: int = 5,
+                pixels_per_segment: int = 40, fewest: int = 60, most: int | None = None) -> DataFrame:
     """Pixels of ``rgb(parcel_id, px, py, r, g, b)`` with ``segment_id``.
 
     The number of segments per parcel follows its ``mask(parcel_id, px, py)``.
-    Pixels without any colour belong to no segment.
+    Pixels without any colour belong to no segment.  Segments may be torn;
+    ``connected_segments`` mends that.
     """
     valid = rgb.where(F.col("r") + F.col("g") + F.col("b") > 0)
     sizes = (valid.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n_valid"))
              .join(mask.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n_mask")), "parcel_id", "left"))
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_valid") / segment_count(F.coalesce("n_mask", F.lit(0))))))
-    placed = skew_join(valid, sizes.select("parcel_id", step.cast("bigint").alias("step")), ["parcel_id"], ["px", "py"])
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_valid") / segment_count(
+        F.coalesce("n_mask", F.lit(0)), pixels_per_segment, fewest, most))))
+    placed = valid.join(sizes.select("parcel_id", step.cast("bigint").alias("step")), "parcel_id")
     placed = lay_out(placed.withColumns({"cx": F.floor(F.col("px") / F.col("step")),
                                          "cy": F.floor(F.col("py") / F.col("step"))}), *CELL)
     values = ("px", "py", "r", "g", "b")
@@ -97,13 +102,14 @@ def vote(segments: DataFrame, mask: DataFrame, allowed: DataFrame) -> DataFrame:
     winners = (marked.groupBy("parcel_id", "segment_id")
                .agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
                .where(F.col("hits") * 2 >= F.col("n")).select("parcel_id", "segment_id"))
-    return skew_join(inside, winners, ["parcel_id", "segment_id"], cell, how="left_semi").select(*cell)
+    return inside.join(winners, ["parcel_id", "segment_id"], "left_semi").select(*cell)
 
 
 def refine(mask: DataFrame, allowed: DataFrame, rgb: DataFrame, compactness: float = 10.0,
            rounds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """``(refined mask, status per parcel)``; parcels without colour keep their mask."""
-    segments = lay_out(superpixels(rgb, mask, compactness, rounds), "parcel_id", "px", "py")
+    """``(refined mask, status per parcel)`` by a vote of connected segments; parcels
+    without colour keep their mask."""
+    segments = lay_out(connected_segments(superpixels(rgb, mask, compactness, rounds)), "parcel_id", "px", "py")
     refined = vote(segments, mask, allowed)
     counts = segments.groupBy("parcel_id").agg(F.count_distinct("segment_id").alias("n_segments"))
     parcels = mask.select("parcel_id").distinct()

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow import constants as K
-from canopyflow.operators.skew import skew_join
 
 EVENT_COUNTS = {"logins": "login", "clicks": "click", "analyses": "analyze",
                 "vectorizations": "vectorize", "calibrations": "calibrate"}
@@ -50,7 +49,7 @@ def valid_sessions(sessions: DataFrame, users: DataFrame, as_of: Column) -> Data
     """Sessions of active users that have not expired at ``as_of``."""
     open_sessions = sessions.where(F.col("expires_at") >= as_of)
     active = users.where("active").select("user_id", "username", "role")
-    return (skew_join(open_sessions, active, ["user_id"], spread=["token"])
+    return (open_sessions.join(active, "user_id")
             .select("token", "user_id", "username", "role", "expires_at"))
 
 
@@ -58,14 +57,13 @@ def attribute_events(events: DataFrame, valid: DataFrame, at: str | None = None)
     """User name per event through its session token, ``anon`` without a valid one.
 
     ``at`` names an event time that must not lie after the session's expiry.
-    One session may produce a large share of all events, hence the skew join.
+    One session may produce a large share of all events: adaptive execution splits it.
     Events without a token are given a key of their own and match nothing.
     """
     lookup = valid.select(F.col("token").alias("join_token"), F.col("username").alias("session_user"),
                           *(["expires_at"] if at else []))
     key = F.coalesce(F.col("token"), F.concat(F.lit("no-token:"), F.col("id").cast("string")))
-    joined = skew_join(events.drop("username").withColumn("join_token", key), lookup,
-                       ["join_token"], spread=["id"], how="left")
+    joined = events.drop("username").withColumn("join_token", key).join(lookup, "join_token", "left")
     name = F.when(F.col("expires_at") >= F.col(at), F.col("session_user")) if at else F.col("session_user")
     named = joined.withColumn("username", F.coalesce(name, F.lit("anon")))
     return named.drop("session_user", "join_token", *(["expires_at"] if at else []))
@@ -137,4 +135,4 @@ def totals(events: DataFrame, as_of: Column) -> DataFrame:
 def sessions_after_password_change(sessions: DataFrame, users: DataFrame, changed: DataFrame) -> DataFrame:
     """Drop every session of the accounts named in ``changed(username)``."""
     ids = users.join(changed, "username", "left_semi").select("user_id")
-    return skew_join(sessions, ids, ["user_id"], spread=["token"], how="left_anti")
+    return sessions.join(ids, "user_id", "left_anti")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +49,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Writes the state of an iteration as tables in the shared folder, which go at the end.
+
+    Unlike a checkpoint, a table that is read again has the size of its files: a
+    checkpoint keeps the estimate of its plan, and joins multiply estimates, so
+    their digits would double in every round.  Results must be cut or collected
+    before the iteration ends.
+    """
+    folder = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield written
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lay_out(df: DataFrame, *keys: str) -> DataFrame:
     """Partition and sort by ``keys`` and checkpoint, so that later joins and
     aggregations on exactly these keys find the rows in place."""

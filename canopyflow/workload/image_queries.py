@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopyflow.operators import images, superpixels
+from canopyflow.operators import fragments, images, superpixels
 from canopyflow.workload import pixel_sql as PS
 from canopyflow.workload import views as V
 from canopyflow.workload.pixel_queries import composite, masks, valid
@@ -105,9 +105,53 @@ def rgb(spark, sf):
     return composite(spark, sf).select("parcel_id", "px", "py", byte("m4").alias("r"), byte("m1").alias("g"), byte("m7").alias("b"))
 
 
-@query("r6_superpixels")
+def _byte(c: str) -> str:
+    return f"CAST(greatest(0, least(255, floor(coalesce({c}, 0) * 255 / 1e7::DOUBLE))) AS BIGINT)"
+
+
+def _centres(source: str, hx: str, hy: str) -> str:
+    means = ", ".join(f"CAST(floor(sum({v}) * 64 / count(*)::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS c_{v}" for v in ("px", "py", "r", "g", "b"))
+    return f"SELECT parcel_id, {hx} AS hx, {hy} AS hy, {means} FROM {source} GROUP BY 1, 2, 3"
+
+
+def _segments(rounds: int) -> str:
+    """Assignment rounds as a chain of steps; ``step{rounds}`` has the last one."""
+    square = lambda v: f"(c_{v} - 64 * {v}) * (c_{v} - 64 * {v})"
+    colour, place = " + ".join(map(square, "rgb")), " + ".join(map(square, ("px", "py")))
+    parts = [PS.MASKS, f"""colours AS (SELECT parcel_id, px, py, {_byte('m4')} AS r, {_byte('m1')} AS g, {_byte('m7')} AS b FROM composite),
+  usable AS (SELECT * FROM colours WHERE r + g + b > 0),
+  sizes AS (SELECT parcel_id, count(*) AS n_valid FROM usable GROUP BY 1),
+  bright AS (SELECT parcel_id, count(*) AS n_mask FROM masks WHERE class = 'bright' GROUP BY 1),
+  spaced AS (SELECT parcel_id, CAST(greatest(1, ceil(sqrt(n_valid / greatest(60, floor(coalesce(n_mask, 0) / 40))))) AS BIGINT) AS step
+    FROM sizes LEFT JOIN bright USING (parcel_id)),
+  placed AS MATERIALIZED (SELECT *, px // step AS cx, py // step AS cy FROM usable JOIN spaced USING (parcel_id))""",
+             f"centres0 AS MATERIALIZED ({_centres('placed', 'cx', 'cy')})"]
+    for k in range(rounds + 1):
+        parts.append(f"""step{k} AS MATERIALIZED (SELECT p.*, hx, hy FROM placed p JOIN centres{k} c ON c.parcel_id = p.parcel_id
+    AND abs(hx - cx) <= 1 AND abs(hy - cy) <= 1 QUALIFY row_number() OVER (PARTITION BY p.parcel_id, px, py
+    ORDER BY step * step * ({colour}) + 100 * ({place}), hy, hx) = 1)""")
+        if k < rounds:
+            parts.append(f"centres{k + 1} AS MATERIALIZED ({_centres(f'step{k}', 'hx', 'hy')})")
+    return ",\n".join(parts)
+
+
+def bright(spark, sf):
+    return masks(spark, sf).where(F.col("class") == "bright")
+
+
+@query("r6_assignment_step", f"WITH {_segments(0)} SELECT parcel_id, px, py, hy * 1048576 + hx AS segment_id FROM step0")
+def r6_step(spark, sf):
+    return superpixels.superpixels(rgb(spark, sf), bright(spark, sf), rounds=0)
+
+
+@query("r6_superpixels", f"WITH {_segments(3)} SELECT parcel_id, px, py, hy * 1048576 + hx AS segment_id FROM step3")
 def r6(spark, sf):
-    bright = masks(spark, sf).where(F.col("class") == "bright")
-    return superpixels.superpixels(rgb(spark, sf), bright, rounds=3)
+    return superpixels.superpixels(rgb(spark, sf), bright(spark, sf), rounds=3)
 
 
+@query("r6_connected_segments", f"WITH {_segments(0)} SELECT parcel_id, count(*) AS n_px, 1::BIGINT AS most_components FROM usable GROUP BY 1")
+def r6_connected(spark, sf):
+    """Every coloured pixel is in one segment, and no segment has more than one component."""
+    segments = fragments.connected_segments(superpixels.superpixels(rgb(spark, sf), bright(spark, sf), rounds=3))
+    return fragments.components_per_segment(segments).groupBy("parcel_id").agg(
+        F.sum("n_px").alias("n_px"), F.max("components").alias("most_components"))

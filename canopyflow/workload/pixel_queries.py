@@ -32,9 +32,8 @@ def zoned(spark, sf):
 
 
 def masks(spark, sf):
-    bright = F.when(F.col("m4") >= 6_500_000, "bright").otherwise("dark")
-    return (composite(spark, sf).where(F.col("m4").isNotNull())
-            .select("parcel_id", bright.alias("class"), "px", "py"))
+    kind = F.when(F.col("m4") >= 6_500_000, "bright").when(F.col("m4").isNotNull(), "dark").otherwise("unseen")
+    return composite(spark, sf).select("parcel_id", kind.alias("class"), "px", "py")
 
 
 def grids(spark, sf):

@@ -99,10 +99,10 @@ def components(nodes: str, pairs: str, name: str) -> str:
 {name} AS (SELECT parcel_id, class, cell, min(other) AS region_id FROM {name}_reach GROUP BY 1, 2, 3)"""
 
 
-# masks for the region operators: pixels bright in April, and the rest
+# masks for the region operators: pixels bright in April, darker ones, and those not seen then
 MASKS = COMPOSITE + """,
-masks AS (SELECT parcel_id, CASE WHEN m4 >= 6500000 THEN 'bright' ELSE 'dark' END AS class, px, py,
-  py * 1048576 + px AS cell FROM composite WHERE m4 IS NOT NULL)"""
+masks AS (SELECT parcel_id, CASE WHEN m4 >= 6500000 THEN 'bright' WHEN m4 IS NOT NULL THEN 'dark'
+  ELSE 'unseen' END AS class, px, py, py * 1048576 + px AS cell FROM composite)"""
 GRID_W, GRID_H = 25, 20
 FULL = MASKS + f""",
 cells AS (SELECT c.parcel_id, c.class, x.px, y.py, y.py * 1048576 + x.px AS cell,
