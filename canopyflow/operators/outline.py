@@ -1,8 +1,7 @@
-"""Region polygons from outline segments.
+"""Region polygons, tables of regions and their areas.
 
-Segments of one region are stitched inside one group.  A group is bounded: a
-grid has at most ``MAX_GRID_SIDE`` cells a side, so a region has at most as many
-segments as such a grid has cell corners.
+Rings come from ``arcs``; ``stitch`` and ``simplify`` do the same for the segments of
+one small outline.
 """
 
 from __future__ import annotations
@@ -10,19 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow import constants as K
-from canopyflow.functions.geodesy import unproject
 from canopyflow.functions.numbers import half_up
-from canopyflow.operators.regions import MASK, boundary_segments, region_sizes
-from canopyflow.operators.skew import skew_join
-from canopyflow.session import cut_lineage
+from canopyflow.operators import arcs
+from canopyflow.operators.regions import MASK, region_sizes
 
 TOLERANCE_DEG = 0.0001
-RINGS_TYPE = "array<array<array<double>>>"
 
 
 def stitch(starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -82,38 +77,19 @@ def simplify(line: np.ndarray, tolerance: float) -> np.ndarray:
     return slim if len(slim) >= 4 else line
 
 
-def _signed_area(ring: np.ndarray) -> float:
-    x, y = ring[:, 0].astype(float), ring[:, 1].astype(float)
-    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
-
-
 def outline_regions(labelled: DataFrame, grids: DataFrame, keys: Sequence[str] = tuple(MASK),
-                    tolerance: float = TOLERANCE_DEG, digits: int = 6) -> DataFrame:
+                    tolerance: float = TOLERANCE_DEG, digits: int = 6, shared: bool = False) -> DataFrame:
     """Rings (outer ring first) in lon/lat for every labelled region.
 
     ``grids`` gives per parcel the upper-left corner ``(origin_x, origin_y)``,
-    ``res``, the grid ``zone`` and ``south``.
+    ``res``, the grid ``zone`` and ``south``.  With ``shared``, regions of all keys of
+    a parcel take part in one map and keep common borders; they must not overlap
+    then.  Otherwise each of the ``keys`` is a map of its own.
     """
     keys = list(keys)
-    columns = ["parcel_id", "origin_x", "origin_y", "res", "zone", "south"]
-    segments = skew_join(cut_lineage(boundary_segments(labelled, keys)), grids.select(*columns), ["parcel_id"],
-                         spread=["xa", "ya", "xb", "yb"])
-    head = labelled.select(*keys, "region_id").schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + f", rings {RINGS_TYPE}"
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        top = group.iloc[0]
-        found = stitch(group[["xa", "ya"]].to_numpy(), group[["xb", "yb"]].to_numpy())
-        found.sort(key=lambda r: (-_signed_area(r), r[0].tolist()))
-        rings = []
-        for ring in found:
-            lon, lat = unproject(top.origin_x + ring[:, 0] * top.res, top.origin_y - ring[:, 1] * top.res,
-                                 int(top.zone), bool(top.south))
-            line = simplify(np.column_stack([lon, lat]), tolerance)
-            rings.append(np.round(line, digits).tolist())
-        return pd.DataFrame([[*[top[c] for c in (*keys, "region_id")], rings]], columns=[*keys, "region_id", "rings"])
-
-    return segments.groupBy(*keys, "region_id").applyInPandas(build, schema)
+    layer = keys[:1] if shared else keys
+    region = [c for c in keys if c not in layer] + ["region_id"]
+    return arcs.outlined(labelled, grids, layer, region, tolerance, digits).drop("ring_cells")
 
 
 def _hectares(pixels: Column) -> Column:

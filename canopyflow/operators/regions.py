@@ -1,8 +1,7 @@
 """Raster regions as row runs: labelling, sieving, halos and outline edges.
 
-A mask is held as horizontal runs ``(keys, py, x0, x1)``.  Grids are at most
-``MAX_GRID_SIDE`` cells wide (``grid_for_parcel`` coarsens larger ones), so one
-raster row never holds more than half that many runs.
+A mask is held as horizontal runs ``(keys, py, x0, x1)``; a raster row holds at most
+half as many runs as the grid is wide.
 """
 
 from __future__ import annotations

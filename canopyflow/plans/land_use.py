@@ -29,17 +29,11 @@ class LandUse:
 
 
 def parcel_status(bands: DataFrame, grids: DataFrame, min_scenes: int = K.MIN_SCENES_ZONING) -> DataFrame:
-    """Scenes per parcel, and why a parcel is not mapped.
-
-    A grid beyond the side limit is refused rather than processed: that limit is
-    what bounds a raster row and the outline of a region.
-    """
+    """Scenes per parcel, and why a parcel is not mapped."""
     seen = bands.groupBy("parcel_id", "scene_id").agg(F.count(F.lit(1)).alias("n"))
     counted = seen.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("scenes_used"))
-    sides = grids.select("parcel_id", F.greatest("width", "height").alias("side"))
-    reason = (F.when(F.col("scenes_used").isNull() | (F.col("scenes_used") < min_scenes), F.lit("few_scenes"))
-              .when(F.col("side") > K.MAX_GRID_SIDE, F.lit("grid_too_large")))
-    return (sides.join(counted, "parcel_id", "left").withColumn("reason", reason)
+    reason = F.when(F.col("scenes_used").isNull() | (F.col("scenes_used") < min_scenes), F.lit("few_scenes"))
+    return (grids.select("parcel_id").join(counted, "parcel_id", "left").withColumn("reason", reason)
             .select("parcel_id", F.coalesce("scenes_used", F.lit(0)).alias("scenes_used"), "reason"))
 
 
@@ -61,8 +55,9 @@ def map_land_use(bands: DataFrame, grids: DataFrame, curves: DataFrame, rgb: Dat
 
     ``bands`` are property pixels with raw band values, ``grids`` comes from
     ``grid_for_parcel``.  With ``rgb`` the corn mask follows visible edges.
-    ``clip`` keeps sieved classes inside their original pixels; without it hole
-    filling may let classes overlap.
+    ``clip`` keeps sieved classes inside their original pixels, and outlines of
+    neighbouring classes then share their borders; without it hole filling may let
+    classes overlap.
     """
     spark = bands.sparkSession
     rejects = cut_lineage(unusable_windows(bands))
@@ -93,7 +88,7 @@ def map_land_use(bands: DataFrame, grids: DataFrame, curves: DataFrame, rgb: Dat
     table = cut_lineage(outline.region_table(labelled, land_use_classes(spark), ready, min_area_ha))
     listed = regions.top_regions(table)
     shown = labelled.join(listed.select("parcel_id", "class", "region_id"), ["parcel_id", "class", "region_id"], "left_semi")
-    outlines = outline.outline_regions(shown, ready)
+    outlines = outline.outline_regions(shown, ready, shared=clip)
     statistics = outline.class_statistics(labelled, table, ready)
     property_px = property_cells.groupBy("parcel_id", "px", "py").agg(F.count(F.lit(1)).alias("n")).groupBy(
         "parcel_id").agg(F.count(F.lit(1)).alias("n_px"))

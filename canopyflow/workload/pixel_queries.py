@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopyflow import constants as K
-from canopyflow.operators import outline, pixels, ranking, regions, rules, zoning
+from canopyflow.operators import arcs, outline, pixels, ranking, regions, rules, zoning
 from canopyflow.operators.profiles import fill_profile
 from canopyflow.schemas import MONTH_COLS
 from canopyflow.sources.curves import land_use_classes, literature_curves
@@ -248,12 +248,28 @@ def r5_edges(spark, sf):
             .groupBy("parcel_id", "class", "side").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy")]))
 
 
-@query("r5_region_rings")
+@query("r5_region_rings", f"""WITH {S.REGIONS}, quads AS (SELECT parcel_id, class, region_id, cell % 1048576 + dx AS qx,
+    cell // 1048576 + dy AS qy, count(*) AS n, sum(dx + 2 * dy) AS places FROM regions
+    CROSS JOIN (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) corner(dx, dy) GROUP BY ALL),
+  euler AS (SELECT parcel_id, class, region_id, (count(*) FILTER (n = 1) - count(*) FILTER (n = 3)
+    + 2 * count(*) FILTER (n = 2 AND places = 3)) // 4 AS e FROM quads GROUP BY ALL)
+SELECT parcel_id, class, region_id, 2 - e AS n_rings, n_px FROM euler
+  JOIN (SELECT parcel_id, class, region_id, count(*) AS n_px FROM regions GROUP BY ALL) USING (parcel_id, class, region_id)""")
 def r5_rings(spark, sf):
+    """Signed area in cells and number of rings, in one map of all classes."""
     labelled = regions.label_regions(regions.row_runs(masks(spark, sf)))
-    rings = outline.outline_regions(labelled, grids(spark, sf))
-    return rings.select("parcel_id", "class", "region_id", F.size("rings").alias("n_rings"),
-                        F.to_json("rings").alias("coordinates"))
+    rings = arcs.outlined(labelled, grids(spark, sf), ["parcel_id"], ["class", "region_id"], None)
+    area = F.expr("""aggregate(transform(rings, r -> aggregate(sequence(0, size(r) - 2), 0D,
+        (s, i) -> s + r[i][0] * r[i + 1][1] - r[i + 1][0] * r[i][1])), 0D, (s, a) -> s + a) / 2""")
+    return rings.select("parcel_id", "class", "region_id", F.size("rings").cast("bigint").alias("n_rings"), area.cast("bigint").alias("n_px"))
+
+
+@query("r5_region_outlines")
+def r5_outlines(spark, sf):
+    """Simplified outlines in degrees; tests hold their topology."""
+    labelled = regions.label_regions(regions.row_runs(masks(spark, sf)))
+    rings = outline.outline_regions(labelled, grids(spark, sf), shared=True)
+    return rings.select("parcel_id", "class", "region_id", F.size("rings").alias("n_rings"), F.to_json("rings").alias("coordinates"))
 
 
 @query("u4_halo", f"""WITH {S.MASKS}, offs AS (SELECT dx, dy FROM (SELECT unnest(range(-3, 4)) AS dx)
