@@ -24,16 +24,17 @@ def sample_reason(min_dates: int = K.MIN_OBS_SAMPLE) -> Column:
 def build_samples(labelled: DataFrame, created_at: str, min_dates: int = K.MIN_DATES_CALIBRATION) -> tuple[DataFrame, DataFrame]:
     """``(samples, rejects)`` from profiles with ``class`` and sample attributes.
 
-    The id is derived from the content, so a retried task repeats the same id.
+    The id hashes the whole row with its keys, so a retried task repeats the same id
+    and equal profiles of different parcels differ; rows that are equal in every
+    column are one sample.
     """
     checked = labelled.withColumn("reason", sample_reason(min_dates))
     for name in ("season", "municipality", "note", "geometry"):
         if name not in labelled.columns:
             checked = checked.withColumn(name, F.lit(None).cast("string"))
-    content = F.to_json(F.struct("class", "season", "municipality", "note", "geometry", "n_obs", *MONTH_COLS,
-                                 *[c for c in ("series_id",) if c in labelled.columns]))
+    content = F.to_json(F.struct(*sorted(labelled.columns)))
     samples = checked.where(F.col("reason").isNull()).select(
-        F.substring(F.sha2(content, 256), 1, 12).alias("sample_id"), "class", "season", "municipality", "note",
+        F.sha2(content, 256).alias("sample_id"), "class", "season", "municipality", "note",
         "geometry", F.array(*MONTH_COLS).alias("monthly"), F.col("n_obs").cast("bigint").alias("n_dates"),
         F.lit(created_at).cast("timestamp").alias("created_at"))
     return samples, checked.where(F.col("reason").isNotNull())

@@ -11,10 +11,11 @@ from canopyflow.plans import land_use, parcel_analysis
 from canopyflow.plans.calibration import calibrate
 from canopyflow.session import shared_dir
 from canopyflow.sinks import files
+from canopyflow.sources import samples as sample_store
 from canopyflow.sources.curves import land_use_classes, literature_curves
 from canopyflow.streaming import audit as audit_stream
 from canopyflow.streaming import verdicts as verdict_stream
-from canopyflow.operators import outline, regions
+from canopyflow.operators import calibration, outline, regions
 from canopyflow.workload import pixel_sql as PS
 from canopyflow.workload import series_sql as S
 from canopyflow.workload import views as V
@@ -22,7 +23,7 @@ from canopyflow.workload.parcel_queries import located
 from canopyflow.workload.pixel_queries import _REGION_TABLE, grids, masks
 from canopyflow.workload.registry import query
 from canopyflow.workload.series_queries import _FINAL, KEYS, observations
-from canopyflow.workload.smoothing_queries import _CURVES, CLASSES
+from canopyflow.workload.smoothing_queries import _CURVES, _SAMPLES, CLASSES, labelled, samples
 
 
 def fresh_dir(spark) -> str:
@@ -115,14 +116,15 @@ def snk2(spark, sf):
                          half_up(total, 1).alias("area_ha"), F.col("doc.type").alias("type"))
 
 
-@query("snk3_analysis_documents", f"""WITH {S.PROFILE}, {V.PARCELS}, {S.VERDICT_PARTS}, final AS ({_FINAL})
-SELECT f.series_id // 10000 AS parcel_id, final_class, n_obs AS n_points FROM final f JOIN profile p USING (series_id)
-WHERE f.series_id % 10000 = 1997""")
+@query("snk3_analysis_documents", f"""WITH {S.PROFILE}, {S.VERDICT_PARTS}, final AS ({_FINAL})
+SELECT series_id AS parcel_id, final_class, n_obs AS n_points FROM final JOIN profile USING (series_id)""")
 def snk3(spark, sf):
-    obs = observations(spark, sf).where(F.col("series_id") % 10000 == 1997).withColumn(
-        "parcel_id", F.expr("series_id div 10000"))
+    """A document for every series; its parcel gives outline and attributes."""
+    obs = observations(spark, sf).withColumnRenamed("series_id", "parcel_id")
+    seasons = obs.select("parcel_id", F.expr("parcel_id div 10000").alias("supplier")).distinct()
+    outlines = located(spark, sf).withColumnRenamed("parcel_id", "supplier").join(seasons, "supplier").drop("supplier")
     verdicts = parcel_analysis.analyze_observations(obs, ["parcel_id"], literature_curves(spark), "2001-12-31")
-    docs = files.analysis_documents(verdicts, obs, located(spark, sf), "1", "2024-01-01T00:00:00Z")
+    docs = files.analysis_documents(verdicts, obs, outlines, "1", "2024-01-01T00:00:00Z")
     path = fresh_dir(spark)
     files.write_json_lines(docs, path)
     back = spark.read.schema("parcel_id bigint, classification struct<final_class:string>, "
@@ -130,6 +132,21 @@ def snk3(spark, sf):
     return back.select("parcel_id", "classification.final_class", F.size("series").cast("bigint").alias("n_points"))
 
 
+@query("snk5_sample_store", f"""WITH {_SAMPLES} SELECT class, (2 * count(*) - count(*) FILTER (m1 > 0.5 AND class = 'soja_unica'))::BIGINT AS n,
+  sum(n_obs * 2 - CASE WHEN m1 > 0.5 AND class = 'soja_unica' THEN n_obs ELSE 0 END)::BIGINT AS n_dates FROM samples GROUP BY 1""")
+def snk5(spark, sf):
+    """Two key layouts, a batch that arrives twice, and deletions between them."""
+    path = f"{fresh_dir(spark)}/samples"
+    by_series = samples(spark, sf)
+    two_keys = labelled(spark, sf).withColumns({"supplier": F.expr("series_id div 10000"), "harvest": F.col("series_id") % 10000}).drop("series_id")
+    sample_store.add_samples(by_series, path)
+    gone = by_series.where((F.get("monthly", F.lit(0)) > 0.5) & (F.col("class") == "soja_unica")).select("sample_id")
+    sample_store.remove_samples(gone, path)
+    sample_store.add_samples(by_series, path)
+    sample_store.add_samples(calibration.build_samples(two_keys, "2024-01-01 00:00:00")[0], path)
+    return sample_store.read_samples(spark, path).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_dates").alias("n_dates"))
+
+
 # ---- streams ------------------------------------------------------------------------------
 @query("st1_audit_ingest", f"""WITH {V.SESSIONS}, {V.USERS}, {V.AUDIT} SELECT a.id, a.event, coalesce(a.target, '') AS target,
   coalesce(u.username, 'anon') AS username FROM audit a

@@ -84,15 +84,16 @@ def a17(spark, sf):
     return scenes.run_metadata(found, used, used.where(F.col("cloud") < 70), KEYS)
 
 
-@query("p6_series_length_status", f"""WITH {V.OBS} SELECT series_id, n_obs, n_months,
+@query("p6_series_length_status", f"""WITH {V.OBS} SELECT series_id, part, n_obs, n_months,
   CASE WHEN n_obs < 6 THEN 'too_short' END AS analysis_reason,
   CASE WHEN n_obs < 8 THEN 'too_short' WHEN n_months < 6 THEN 'few_months' END AS calibration_reason
-  FROM (SELECT series_id, count(*) AS n_obs, count(DISTINCT month(obs_date)) AS n_months FROM obs
-        WHERE cloud < 30 GROUP BY 1)""")
+  FROM (SELECT series_id, scene_ord % 9 AS part, count(*) AS n_obs, count(DISTINCT month(obs_date)) AS n_months FROM obs GROUP BY 1, 2)""")
 def p6(spark, sf):
-    prof = profiles.monthly_profile(observations(spark, sf).where(F.col("cloud") < 30), KEYS)
+    """Series cut into nine parts each, so that short ones exist."""
+    parts = observations(spark, sf).withColumn("part", F.col("scene_ord") % 9)
+    prof = profiles.monthly_profile(parts, [*KEYS, "part"])
     return (parcel_analysis.length_status(prof)
-            .select("series_id", "n_obs", F.col("n_months").cast("bigint").alias("n_months"),
+            .select("series_id", "part", "n_obs", F.col("n_months").cast("bigint").alias("n_months"),
                     "analysis_reason", "calibration_reason"))
 
 

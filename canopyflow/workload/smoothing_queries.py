@@ -6,22 +6,26 @@ from pyspark.sql import functions as F
 
 from canopyflow import constants as K
 from canopyflow.functions.savgol import coefficients
-from canopyflow.operators import calibration, profiles, ranking, smoothing
+from canopyflow.operators import calibration, profiles, ranking, scenes, smoothing
 from canopyflow.sources.curves import literature_curves
 from canopyflow.workload import series_sql as S
 from canopyflow.workload import views as V
 from canopyflow.workload.registry import query
 from canopyflow.workload.series_queries import KEYS, observations, profile
 
-# Every second week is left out, so that real gaps of more than 40 days exist.
-SPARSE_DAYS = "dayofyear({d}) % 97 < 45"
+# Scenes of the second half of each 97 days move to the day before it, so that real gaps of more than 40 days exist.
+OPEN_DAYS = "greatest(0, dayofyear({d}) % 97 - 44)"
 
 
 def sparse(spark, sf):
-    return observations(spark, sf).where(F.dayofyear("obs_date") % 97 < 45)
+    moved = F.expr(f"CAST(date_sub(obs_date, CAST({OPEN_DAYS.format(d='obs_date')} AS int)) AS date)")
+    raw = V.raw_observations(spark, sf).withColumn("obs_date", moved)
+    return scenes.best_per_day(raw, KEYS, ["scene_ord", "ndvi_e4"])
 
 
-_SPARSE = V.OBS + f",\nsparse AS (SELECT * FROM obs WHERE {SPARSE_DAYS.format(d='obs_date')})"
+_SPARSE = V.RAW_OBS + f""",
+moved AS (SELECT * REPLACE (obs_date - CAST({OPEN_DAYS.format(d='obs_date')} AS INT) AS obs_date) FROM raw_obs),
+sparse AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY series_id, obs_date ORDER BY cloud, scene_ord, ndvi_e4) = 1)"""
 _GRID = _SPARSE + """,
 daily AS (SELECT series_id, obs_date, ndvi_e4 / 1 / 10000.0::DOUBLE AS ndvi FROM sparse),
 spans AS (SELECT series_id, min(obs_date) AS d0, max(obs_date) AS d1 FROM daily GROUP BY 1 HAVING count(*) >= 4),
