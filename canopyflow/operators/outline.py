@@ -113,10 +113,17 @@ def region_table(labelled: DataFrame, classes: DataFrame, grids: DataFrame, min_
             .drop("exact_ha", "res"))
 
 
-def class_statistics(cleaned: DataFrame, regions: DataFrame, grids: DataFrame) -> DataFrame:
-    """Area per class from the cleaned pixels and its number of polygons."""
-    area = (cleaned.groupBy("parcel_id", "class").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n_px"))
-            .join(grids.select("parcel_id", "res"), "parcel_id")
+def class_statistics(cleaned: DataFrame, regions: DataFrame, grids: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Area per class from the cleaned pixels and its number of polygons.
+
+    With ``present(parcel_id, class)``, classes that lost all their pixels in cleaning
+    are listed with an area of 0.
+    """
+    area = cleaned.groupBy("parcel_id", "class").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n_px"))
+    if present is not None:
+        area = (present.select("parcel_id", "class").distinct().join(area, ["parcel_id", "class"], "full")
+                .withColumn("n_px", F.coalesce("n_px", F.lit(0).cast("bigint"))))
+    area = (area.join(grids.select("parcel_id", "res"), "parcel_id")
             .withColumn("area_ha", half_up(_hectares(F.col("n_px")), 1)).drop("res"))
     polygons = regions.groupBy("parcel_id", "class").agg(F.count(F.lit(1)).alias("n_polygons"))
     return (area.join(polygons, ["parcel_id", "class"], "left")

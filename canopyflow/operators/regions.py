@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyflow import constants as K
 from canopyflow.operators.components import connected_components
 from canopyflow.operators.skew import skew_join
 from canopyflow.session import cut_lineage
@@ -225,12 +224,14 @@ def min_region_pixels(min_area_ha: Column, res: Column) -> Column:
     return F.greatest(F.lit(2).cast("bigint"), F.floor(min_area_ha * 10_000 / (res * res)).cast("bigint"))
 
 
-def top_regions(regions: DataFrame, limit: int = K.MAX_FEATURES) -> DataFrame:
-    """At most ``limit`` regions per parcel: class order first, larger areas first.
+def top_regions(regions: DataFrame, limit: int | None = None) -> DataFrame:
+    """All regions, or at most ``limit`` per parcel: class order first, larger areas first.
 
     ``truncated`` tells parcels where the limit cut something off.  The rank is a
     top-n, so each task sends at most ``limit`` + 1 rows of a parcel onwards.
     """
+    if limit is None:
+        return regions.withColumn("truncated", F.lit(False))
     order = Window.partitionBy("parcel_id").orderBy("class_ord", F.desc("area_ha"), "region_id")
     ranked = regions.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit + 1)
     cut = F.max("rn").over(Window.partitionBy("parcel_id")) > limit

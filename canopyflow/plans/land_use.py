@@ -50,7 +50,8 @@ def classify_zones(zone_profiles: DataFrame, curves: DataFrame, overrides: dict[
 
 def map_land_use(bands: DataFrame, grids: DataFrame, curves: DataFrame, rgb: DataFrame | None = None,
                  min_area_ha: float = 2.0, zones: int | None = None, rounds: int = 25,
-                 overrides: dict[str, float] | None = None, clip: bool = False) -> LandUse:
+                 overrides: dict[str, float] | None = None, clip: bool = False,
+                 max_regions: int | None = None) -> LandUse:
     """The whole zoning for all parcels at once.
 
     ``bands`` are property pixels with raw band values, ``grids`` comes from
@@ -86,10 +87,10 @@ def map_land_use(bands: DataFrame, grids: DataFrame, curves: DataFrame, rgb: Dat
         cleaned = regions.clip_runs(cleaned, named)
     labelled = regions.label_regions(cleaned)
     table = cut_lineage(outline.region_table(labelled, land_use_classes(spark), ready, min_area_ha))
-    listed = regions.top_regions(table)
+    listed = regions.top_regions(table, max_regions)
     shown = labelled.join(listed.select("parcel_id", "class", "region_id"), ["parcel_id", "class", "region_id"], "left_semi")
     outlines = outline.outline_regions(shown, ready, shared=clip)
-    statistics = outline.class_statistics(labelled, table, ready)
+    statistics = outline.class_statistics(labelled, table, ready, named)
     property_px = property_cells.groupBy("parcel_id", "px", "py").agg(F.count(F.lit(1)).alias("n")).groupBy(
         "parcel_id").agg(F.count(F.lit(1)).alias("n_px"))
     return LandUse(

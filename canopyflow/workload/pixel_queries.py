@@ -8,6 +8,7 @@ from canopyflow import constants as K
 from canopyflow.operators import arcs, outline, pixels, ranking, regions, rules, zoning
 from canopyflow.operators.profiles import fill_profile
 from canopyflow.schemas import MONTH_COLS
+from canopyflow.session import cut_lineage
 from canopyflow.sources.curves import land_use_classes, literature_curves
 from canopyflow.sources.pixels import unusable_windows
 from canopyflow.workload import pixel_sql as S
@@ -334,6 +335,17 @@ def a12(spark, sf):
     return outline.class_statistics(runs, region_table(spark, sf), grids(spark, sf))
 
 
+@query("a12_emptied_classes", f"""WITH {S.SIEVED}, kept AS (SELECT parcel_id, class, count(*) AS n_px FROM sieved GROUP BY 1, 2)
+SELECT parcel_id, class, coalesce(n_px, 0) AS n_px, {S.half_up("coalesce(n_px, 0) * 0.01::DOUBLE", 1)} AS area_ha
+FROM (SELECT DISTINCT parcel_id, class FROM masks) FULL JOIN kept USING (parcel_id, class)""")
+def a12_emptied(spark, sf):
+    """Areas after sieving; classes that vanish stay listed."""
+    cells, squares = masks(spark, sf), grids(spark, sf)
+    cleaned = cut_lineage(regions.sieve(regions.row_runs(cells), squares, S.SIEVE_MIN / 100))
+    table = outline.region_table(cleaned.withColumn("region_id", F.lit(0).cast("bigint")), land_use_classes(spark), squares, 0.0)
+    return outline.class_statistics(cleaned, table, squares, cells).select("parcel_id", "class", "n_px", "area_ha")
+
+
 _CORN = "CASE class WHEN 'bright' THEN 'milho_safrinha' ELSE class END"
 
 
