@@ -27,6 +27,8 @@ KNOWN_WORDS = 600_000
 STEP_CHARS = 3_000_000
 #: Marks that the vocabulary's rules part from a letter before them.
 ENDS = ".,;:!?"
+#: What the vocabulary's special tokens begin with.
+SPECIAL = "<|"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,8 +41,9 @@ def default_tokenizer() -> str:
 class WordIds:
     """Token ids of texts, word by word: the vocabulary never joins across white
     space, so words met before need not be tokenised again.  It lower-cases, and
-    keeps letters apart from marks, so ASCII case and a last mark are taken off
-    before.  Special tokens contain neither upper case nor such an end."""
+    keeps letters apart from marks, so ASCII case and a last mark after an ASCII
+    letter are taken off before.  Special tokens are found before lower-casing, so
+    words that may hold one keep their case."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,8 +59,8 @@ class WordIds:
         for word in set().union(*split):
             if word in known:
                 continue
-            core, end = word.lower() if word.isascii() else word, ""
-            if len(core) > 1 and core[-1] in ENDS and core[-2].isalpha():
+            core, end = word.lower() if word.isascii() and SPECIAL not in word else word, ""
+            if len(core) > 1 and core[-1] in ENDS and core[-2].isalpha() and core[-2].isascii():
                 core, end = core[:-1], core[-1]
             if core not in known and core.isascii() and core.isalpha():
                 # one word of plain letters: neither normalised nor split
