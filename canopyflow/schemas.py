@@ -69,6 +69,10 @@ GEOJSON_COLLECTION = T.StructType([
         T.StructField("geometry", T.StructType([
             T.StructField("type", T.StringType()),
             T.StructField("coordinates", T.StringType()),
+            T.StructField("geometries", T.ArrayType(T.StructType([
+                T.StructField("type", T.StringType()),
+                T.StructField("coordinates", T.StringType()),
+            ]))),
         ])),
         T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
     ]))),

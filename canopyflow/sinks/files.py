@@ -44,9 +44,14 @@ def write_feature_collections(regions: DataFrame, path: str) -> None:
 
 def compacted_collections(features: DataFrame) -> DataFrame:
     """GeoJSON text per source file from ``sources.geojson.compact``."""
-    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get("parts", F.lit(0)).alias("coordinates")))
-    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts").alias("coordinates")))
-    geometry = F.when(F.col("geometry_type") == "Polygon", one).otherwise(many)
+
+    def simple(kind: Column, coordinates: Column) -> Column:
+        return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), F.coalesce(coordinates, F.lit("[]")), F.lit("}"))
+
+    members = F.transform("geometries", lambda g: simple(g["type"], g["coordinates"]))
+    collection = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(members, ","), F.lit("]}"))
+    geometry = (F.when(F.col("geometry_type").isNull(), "null").when(F.col("geometries").isNotNull(), collection)
+                .otherwise(simple(F.col("geometry_type"), F.col("coordinates"))))
     text = F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'),
                     F.coalesce(F.to_json("properties"), F.lit("{}")), F.lit("}"))
     grouped = features.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ord", text.alias("t")))).alias("f"))

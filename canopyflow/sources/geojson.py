@@ -10,6 +10,8 @@ from canopyflow import schemas
 
 POLYGON = "array<array<array<double>>>"
 MULTIPOLYGON = f"array<{POLYGON}>"
+#: How deep the coordinates of each geometry type are nested.
+DEPTHS = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
 
 
 def read_collections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -29,6 +31,7 @@ def read_collections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
                 .select("file", F.posexplode("doc.features").alias("ord", "f"))
                 .select("file", "ord", F.col("f.geometry.type").alias("geometry_type"),
                         F.col("f.geometry.coordinates").alias("coordinates"),
+                        F.col("f.geometry.geometries").alias("geometries"),
                         F.col("f.properties").alias("properties"))
                 .withColumn("parts", parse_parts("geometry_type", "coordinates")))
     return features, checked.where(F.col("reason").isNotNull()).select("file", "reason")
@@ -52,16 +55,43 @@ def round_parts(parts: str, digits: int) -> Column:
                   f"transform(p, v -> floor(v * {scale} + 0.5D) / {scale}))))")
 
 
-def compact(features: DataFrame, heavy_bytes: int = 1_800_000) -> DataFrame:
+def round_coordinates(kind: Column, coordinates: Column, digits: int) -> Column:
+    """Coordinate text of any geometry type at ``digits`` decimals; text that does not
+    fit its type stays as it is."""
+    scale = float(10 ** digits)
+
+    def rounded(value: Column, depth: int) -> Column:
+        if depth == 0:
+            return F.floor(value * scale + 0.5) / scale
+        return F.transform(value, lambda v: rounded(v, depth - 1))
+
+    texts = [F.when(kind == name, F.to_json(rounded(F.from_json(coordinates, "array<" * n + "double" + ">" * n), n)))
+             for name, n in DEPTHS.items()]
+    return F.coalesce(*texts, coordinates)
+
+
+def compact(features: DataFrame, heavy_bytes: int | None = None) -> DataFrame:
     """Per feature: whitelisted properties and coordinates at four decimals.
 
-    A file whose compacted text would still exceed ``heavy_bytes`` gets three
-    decimals for all of its features.
+    With ``heavy_bytes``, a file whose compacted text would still exceed it gets three
+    decimals for all of its features.  All geometry types keep their coordinates
+    (``coordinates`` as text, ``geometries`` of a collection, ``parts`` of polygons).
     """
     slim = features.withColumn("properties", keep_properties("properties"))
-    sized = slim.withColumn("n_bytes", F.length(F.to_json(F.struct(round_parts("parts", 4).alias("c"), "properties"))))
-    weights = sized.groupBy("file").agg(F.sum("n_bytes").alias("file_bytes"))
-    joined = slim.join(weights, "file")
-    digits = F.when(F.col("file_bytes") > heavy_bytes, 3).otherwise(4)
-    rounded = F.when(digits == 3, round_parts("parts", 3)).otherwise(round_parts("parts", 4))
-    return joined.withColumns({"digits": digits, "parts": rounded}).drop("coordinates", "file_bytes")
+
+    def at(digits: int) -> dict[str, Column]:
+        return {"parts": round_parts("parts", digits),
+                "coordinates": round_coordinates(F.col("geometry_type"), F.col("coordinates"), digits),
+                "geometries": F.transform("geometries", lambda g: F.struct(
+                    g["type"].alias("type"), round_coordinates(g["type"], g["coordinates"], digits).alias("coordinates")))}
+
+    if heavy_bytes is None:
+        return slim.withColumns({**at(4), "digits": F.lit(4)})
+    sized = slim.withColumns(at(4))
+    n_bytes = F.length(F.to_json(F.struct("coordinates", "geometries", "properties")))
+    weights = sized.groupBy("file").agg(F.sum(n_bytes).alias("file_bytes"))
+    heavy = F.col("file_bytes") > heavy_bytes
+    three, four = at(3), at(4)
+    rounded = {name: F.when(heavy, three[name]).otherwise(four[name]) for name in three}
+    return (slim.join(weights, "file").withColumns({**rounded, "digits": F.when(heavy, 3).otherwise(4)})
+            .drop("file_bytes"))

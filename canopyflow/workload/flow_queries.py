@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from canopyflow import schemas
 from canopyflow.functions.numbers import half_up
 from canopyflow.plans import land_use, parcel_analysis
 from canopyflow.plans.calibration import calibrate
 from canopyflow.session import shared_dir
 from canopyflow.sinks import files
+from canopyflow.sources import geojson
 from canopyflow.sources import samples as sample_store
 from canopyflow.sources.curves import land_use_classes, literature_curves
 from canopyflow.streaming import audit as audit_stream
@@ -19,7 +21,7 @@ from canopyflow.operators import calibration, outline, regions
 from canopyflow.workload import pixel_sql as PS
 from canopyflow.workload import series_sql as S
 from canopyflow.workload import views as V
-from canopyflow.workload.parcel_queries import located
+from canopyflow.workload.parcel_queries import HAS_RINGS, located
 from canopyflow.workload.pixel_queries import _REGION_TABLE, grids, masks
 from canopyflow.workload.registry import query
 from canopyflow.workload.series_queries import _FINAL, KEYS, observations
@@ -116,6 +118,37 @@ def snk2(spark, sf):
                          half_up(total, 1).alias("area_ha"), F.col("doc.type").alias("type"))
 
 
+_KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection")
+
+
+@query("snk6_compacted", f"""WITH {V.PARCELS} SELECT ({list(_KINDS)})[parcel_id % 7 + 1] AS kind, count(*) AS n,
+  sum(floor(xmin * 1.00037::DOUBLE * 1e4 + 0.5))::BIGINT AS x4, sum(floor(ymin * 1.00037::DOUBLE * 1e4 + 0.5))::BIGINT AS y4,
+  sum(length(municipality))::BIGINT AS letters FROM parcels WHERE {HAS_RINGS} GROUP BY 1""")
+def snk6(spark, sf):
+    """Files of up to 100 features of all geometry types are written, read, compacted, written and read again."""
+    scaled = F.expr("transform(rings, r -> transform(r, p -> transform(p, v -> v * 1.00037D)))")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("parcel_id") % 7 + 1).cast("int"))
+    ring = F.get("rings", F.lit(0))
+    nested = {1: F.get(ring, F.lit(0)), 2: ring, 3: F.array(ring), 4: F.array(F.array(ring))}
+    text = F.coalesce(*[F.when(kind == k, F.to_json(nested[n])) for k, n in geojson.DEPTHS.items()])
+    member = F.array(F.struct(F.lit("Point").alias("type"), F.to_json(nested[1]).alias("coordinates")))
+    features = located(spark, sf).where("rings IS NOT NULL").withColumn("rings", scaled).select(
+        F.expr("parcel_id div 100").alias("file"), F.col("parcel_id").alias("ord"), kind.alias("geometry_type"),
+        text.alias("coordinates"), F.when(kind == "GeometryCollection", member).alias("geometries"),
+        F.create_map(F.lit("name"), F.col("municipality"), F.lit("other"), F.lit("x")).alias("properties"))
+    raw, slim = fresh_dir(spark), fresh_dir(spark)
+    files.compacted_collections(features).write.partitionBy("file").text(raw)
+    found, _ = geojson.read_collections(spark, raw)
+    files.compacted_collections(geojson.compact(found)).select("geojson").write.text(slim)
+    doc = F.from_json("value", schemas.GEOJSON_COLLECTION)
+    back = spark.read.text(slim).select(F.explode(doc["features"]).alias("f")).select("f.geometry.*", "f.properties")
+    first = F.regexp_extract_all(F.coalesce("coordinates", F.get("geometries", F.lit(0))["coordinates"]), F.lit(r"(-?[0-9.]+)"))
+    at = lambda k: F.sum(F.round(F.get(first, F.lit(k)).cast("double") * 1e4)).cast("bigint")
+    return back.groupBy(F.col("type").alias("kind")).agg(
+        F.count("*").alias("n"), at(0).alias("x4"), at(1).alias("y4"),
+        F.sum(F.when(F.size("properties") == 1, F.length(F.col("properties")["name"]))).cast("bigint").alias("letters"))
+
+
 @query("snk3_analysis_documents", f"""WITH {S.PROFILE}, {S.VERDICT_PARTS}, final AS ({_FINAL})
 SELECT series_id AS parcel_id, final_class, n_obs AS n_points FROM final JOIN profile USING (series_id)""")
 def snk3(spark, sf):

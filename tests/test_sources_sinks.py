@@ -150,3 +150,25 @@ def test_pixel_table_reads_only_its_window(spark, tmp_path):
     bad = unusable_windows(df)
     assert {(r.scene_id, r.reason) for r in bad.collect()} == {(9, "narrow_window"), (8, "missing_band")}
     assert {r.scene_id for r in without_windows(df, bad).collect()} == {0, 1, 2, 3}
+
+
+def test_all_geometry_types_keep_their_coordinates(spark, tmp_path):
+    p = [-56.1234567, 13.00005]
+    line = [p, [1.0, 2.0, 3.99999]]
+    kinds = {"Point": p, "MultiPoint": line, "LineString": line, "MultiLineString": [line, line], "Polygon": [RING],
+             "MultiPolygon": [[RING], [RING]]}
+    features = [feature(k, c, name=k) for k, c in kinds.items()]
+    parts = [{"type": "Point", "coordinates": p}, {"type": "LineString", "coordinates": line}]
+    features.append({"type": "Feature", "geometry": {"type": "GeometryCollection", "geometries": parts}, "properties": {}})
+    features.append({"type": "Feature", "geometry": None, "properties": None})
+    (tmp_path / "all.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    good, _ = geojson.read_collections(spark, str(tmp_path))
+
+    def rounded(c, n):
+        return [rounded(x, n) for x in c] if isinstance(c, list) else np.floor(c * 10 ** n + 0.5) / 10 ** n
+
+    for heavy, n in ((None, 4), (10 ** 6, 4), (10, 3)):
+        back = json.loads(files.compacted_collections(geojson.compact(good, heavy)).first().geojson)["features"]
+        assert {f["geometry"]["type"]: f["geometry"]["coordinates"] for f in back[:6]} == {k: rounded(c, n) for k, c in kinds.items()}
+        assert back[6]["geometry"]["geometries"] == [{**g, "coordinates": rounded(g["coordinates"], n)} for g in parts]
+        assert back[7]["geometry"] is None and back[7]["properties"] == {}
