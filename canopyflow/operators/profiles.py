@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow.functions.dates import iso_date
@@ -39,11 +39,15 @@ def monthly_profile(observations: DataFrame, keys: Sequence[str], date: str = "o
         sums += [F.sum(hit).alias(f"s{m}"), F.count(hit).alias(f"c{m}")]
     totals = observations.withColumn("month", F.month(date)).groupBy(*keys).agg(
         *sums, F.count(F.lit(1)).alias("n_obs"), F.max(date).alias("last_date"))
-    means = [(F.when(F.col(f"c{m}") > 0, F.col(f"s{m}") / F.col(f"c{m}") / F.lit(float(E4))))
-             .alias(f"m{m}") for m in MONTHS]
+    means = month_means(lambda m: F.col(f"s{m}"), lambda m: F.col(f"c{m}"))
     return totals.select(*keys, *means, "n_obs", "last_date")
 
 
+def month_means(total: Callable[[int], Column], count: Callable[[int], Column]) -> list[Column]:
+    """Columns ``m1..m12`` from each month's integer sum and number of values."""
+    return [F.when(count(m) > 0, total(m) / count(m) / F.lit(float(E4))).alias(f"m{m}") for m in MONTHS]
+
+
 def fill_profile(profiles: DataFrame) -> DataFrame:
     """Add ``monthly`` with gaps filled around the year; null if nothing is known."""
     return (profiles.withColumn("raw_monthly", months_array())

@@ -40,6 +40,12 @@ def analyze_observations(observations: DataFrame, keys: Sequence[str], curves: D
     profile = profiles.monthly_profile(observations, group)
     if overrides:
         profile = profile.withColumn(overrides, F.map_from_entries(overrides))
+    return analyze_profile(profile, curves, as_of, overrides, min_dates, native_warp)
+
+
+def analyze_profile(profile: DataFrame, curves: DataFrame, as_of: str, overrides: str | None = None,
+                    min_dates: int = 0, native_warp: bool = False) -> DataFrame:
+    """Rules, curve ranking and final verdict of monthly profiles (``monthly_profile``)."""
     classified = rules.classify(profile, overrides)
     classified = rules.in_progress(classified, F.lit(as_of).cast("date"))
     classified = rules.verdict_texts(rules.stage_details(rules.rule_details(classified)))

@@ -2,60 +2,101 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from canopyflow.operators import scenes
-from canopyflow.plans.parcel_analysis import analyze_observations
-
-BROADCAST_KEYS = 200_000
-BUCKETS = 256
-
-
-def bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
-def touched_history(history: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored observations of the series a batch touches.
-
-    Only the buckets of those series are read.  The key list is broadcast only
-    when counting shows that it is short.
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructType
+
+from canopyflow import constants as K
+from canopyflow.operators import profiles
+from canopyflow.plans.parcel_analysis import analyze_profile
+
+AVAILABLE = {"availableNow": True}
+#: Day number of a missing date; real ones count from 1970.
+NO_DAY = -(1 << 31)
+SUMS, COUNTS = "month_sums", "month_counts"
+
+
+def _ordered(observations: DataFrame, keys: Sequence[str], tie_breaks: Sequence[str]) -> DataFrame:
+    """Key columns, then the columns of the state in the order that ranks a day's
+    observations.  No column has nulls: each tie-break brings a flag, by which a
+    missing one comes first, as in a batch."""
+    types = dict((f.name, f.dataType) for f in observations.schema.fields)
+    cloud = F.coalesce(F.col("cloud").cast("double"), F.lit(K.CLOUD_MISSING))
+    columns = [F.coalesce(F.unix_date("obs_date"), F.lit(NO_DAY)).alias("_day"),
+               F.when(F.isnan(cloud), F.lit(float("inf"))).otherwise(cloud).alias("_cloud")]
+    for i, name in enumerate(tie_breaks):
+        zero = F.lit("" if isinstance(types[name], StringType) else 0).cast(types[name])
+        columns += [F.col(name).isNotNull().alias(f"_has{i}"), F.coalesce(name, zero).alias(f"_tie{i}")]
+    columns += [F.col("ndvi_e4").isNotNull().alias("_valued"), F.coalesce(F.col("ndvi_e4").cast("long"), F.lit(0)).alias("_value")]
+    return observations.select(*keys, *columns)
+
+
+def _month_totals(best: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """Sums and counts of the values of one series by calendar month."""
+    known = best[best["_valued"] & (best["_day"] != NO_DAY)]
+    month = known["_day"].to_numpy("datetime64[D]").astype("datetime64[M]").astype(int) % 12
+    sums = np.zeros(12, np.int64)
+    np.add.at(sums, month, known["_value"].to_numpy(np.int64))
+    return sums.tolist(), np.bincount(month, minlength=12).tolist()
+
+
+def profile_stream(observations: DataFrame, keys: Sequence[str], tie_breaks: Sequence[str]) -> DataFrame:
+    """Monthly profile of every series that a batch touches, from keyed state.
+
+    The state of a series is its best observation of each day (``best_per_day``),
+    so a batch costs its own rows and the state of the series in it; no history is
+    read again.  A state has at most one entry a day, however many scenes arrive.
+    Observations may come in any order and more than once; the first of equal ones
+    stays.  Tie-breaks are numbers or strings.  A missing date counts as a day of
+    its own that belongs to no month, and a missing value counts as a date only,
+    as in ``monthly_profile``.
     """
-    touched = batch.select(*keys).distinct()
-    buckets = [r[0] for r in touched.select(bucket(keys)).distinct().collect()]  # at most BUCKETS
-    few = touched.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return (history.where(F.col("bucket").isin(buckets))
-            .join(F.broadcast(touched) if few else touched, list(keys), "left_semi"))
+    rows = _ordered(observations, keys, tie_breaks)
+    fields = [f for f in rows.schema.fields if f.name not in keys]
+    names = [f.name for f in fields]
+    ranks = names[:-2]
+    state_type = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in fields)
+    key_fields = StructType([f for f in rows.schema.fields if f.name in keys])
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields),
+                     f"{SUMS} array<bigint>, {COUNTS} array<bigint>, n_obs bigint, _last int"])
+
+    def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [batch[names] for batch in batches]
+        if state.exists:
+            kept = pd.DataFrame(dict(zip(names, state.get)))
+            parts.insert(0, kept.astype(parts[0].dtypes.to_dict()) if parts else kept)
+        best = pd.concat(parts).sort_values(ranks, kind="stable").drop_duplicates("_day")
+        state.update(tuple(best[name].tolist() for name in names))
+        sums, counts = _month_totals(best)
+        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, SUMS: [sums], COUNTS: [counts],
+                            "n_obs": [len(best)], "_last": [int(best["_day"].max())]})
+
+    totals = rows.groupBy(*keys).applyInPandasWithState(merge, out, state_type, "update", GroupStateTimeout.NoTimeout)
+    last = F.when(F.col("_last") != NO_DAY, F.date_from_unix_date("_last")).alias("last_date")
+    return totals.select(*keys, *profiles.month_means(lambda m: F.col(SUMS)[m - 1], lambda m: F.col(COUNTS)[m - 1]), "n_obs", last)
 
 
 def update_verdicts(observations: DataFrame, curves: DataFrame, keys: Sequence[str], tie_breaks: Sequence[str],
-                    store: str, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Append each batch to ``store/observations`` and write new verdicts.
+                    store: str, checkpoint: str, as_of: str, trigger: Mapping = AVAILABLE) -> StreamingQuery:
+    """Write the verdicts of the series that a batch touches to ``store/verdicts/batch=N``.
 
-    Observations are stored by batch and series bucket.  Batch folders are
-    overwritten when a batch is repeated.  ``latest_verdicts`` gives the current
-    verdict of every series.
+    What is known of a series lives in the state below ``checkpoint``
+    (``profile_stream``).  Batch folders are overwritten when a batch is repeated.
+    ``latest_verdicts`` gives the current verdict of every series.
     """
-    spark = observations.sparkSession
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("bucket", bucket(keys)).repartition(F.col("bucket"), F.month("obs_date"))
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/observations/batch={batch_id}"))
-        stored = spark.read.parquet(f"{store}/observations")
-        history = stored.where(F.col("batch") <= batch_id)
-        fresh = stored.where(F.col("batch") == batch_id)
-        touched = touched_history(history, fresh, keys).drop("batch", "bucket")
-        series = scenes.best_per_day(touched, keys, tie_breaks)
-        verdicts = analyze_observations(series, keys, curves, as_of)
+        verdicts = analyze_profile(batch, curves, as_of)
         (verdicts.select(*keys, "final_class", "final_confidence", "n_obs", "last_date")
          .write.mode("overwrite").parquet(f"{store}/verdicts/batch={batch_id}"))
 
-    return (observations.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return (profile_stream(observations, keys, tie_breaks).writeStream.outputMode("update").foreachBatch(handle)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 def latest_verdicts(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:

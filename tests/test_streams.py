@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from canopyflow.operators import scenes
+from canopyflow.operators.profiles import monthly_profile
 from canopyflow.plans.parcel_analysis import analyze_observations
 from canopyflow.plans.usage import dashboard
 from canopyflow.sources.curves import literature_curves
@@ -90,3 +92,33 @@ def test_dashboard_sums_agree(spark):
     assert (sums.logins, sums.clicks, sums.analyses, sums.vectorizations, sums.calibrations) == (
         names["login"], names["click"], names["analyze"], names["vectorize"], 0)
     assert total.analyses == pytest.approx(names["analyze"])
+
+
+def test_profiles_from_state_equal_those_of_a_batch(spark, tmp_path):
+    schema = "series_id string, region int, obs_date date, ndvi_e4 bigint, cloud double, ord bigint, scene string"
+    draw = random.Random(5)
+
+    def row():
+        return (draw.choice(["a", "b", None]), draw.choice([1, None]),
+                draw.choice([None, *(dt.date(1969 + 56 * (d % 2), 1 + d % 12, 1 + d) for d in range(12))]),
+                draw.choice([None, 0, 2 ** 40, -5, 7000]), draw.choice([None, float("nan"), 0.0, 5.0]),
+                draw.choice([None, 2 ** 60, 2 ** 60 + 1, -1]), draw.choice([None, "", "é", "z"]))
+
+    keys, ties = ["series_id", "region"], ["ord", "scene", "ndvi_e4"]
+    rows = [row() for _ in range(400)]
+    rows += rows[:30]
+    source, newest = str(tmp_path / "in"), {}
+    for part, size in enumerate((150, 1, 279)):
+        chunk, rows = rows[:size], rows[size:]
+        spark.createDataFrame(chunk, schema).repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        seen = []
+        (verdicts.profile_stream(stream, keys, ties).writeStream.outputMode("update")
+         .foreachBatch(lambda batch, _, seen=seen: seen.extend(batch.collect()))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
+        # only the touched series come out
+        assert {(r.series_id, r.region) for r in seen} == {(r[0], r[1]) for r in chunk}
+        newest |= {(r.series_id, r.region): tuple(r) for r in seen}
+        everything = spark.read.schema(schema).parquet(source)
+        whole = monthly_profile(scenes.best_per_day(everything, keys, ties), keys)
+        assert newest == {(r.series_id, r.region): tuple(r) for r in whole.collect()}
