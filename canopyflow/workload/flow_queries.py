@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from canopyflow import constants as K
 from canopyflow import schemas
 from canopyflow.functions.numbers import half_up
 from canopyflow.plans import land_use, parcel_analysis
@@ -16,7 +17,9 @@ from canopyflow.sources import geojson
 from canopyflow.sources import samples as sample_store
 from canopyflow.sources.curves import land_use_classes, literature_curves
 from canopyflow.streaming import audit as audit_stream
+from canopyflow.streaming import progress
 from canopyflow.streaming import verdicts as verdict_stream
+from canopyflow.streaming.snapshot import read_snapshot
 from canopyflow.operators import calibration, outline, regions
 from canopyflow.workload import pixel_sql as PS
 from canopyflow.workload import series_sql as S
@@ -197,10 +200,19 @@ def st1(spark, sf):
 def st2(spark, sf):
     out = fresh_dir(spark)
     counts = audit_stream.live_counts(V.as_audit(V.stream(spark, sf, "events")))
-    audit_stream.publish_counts(counts, f"{out}/counts", f"{out}/state").awaitTermination()
-    states = spark.read.parquet(f"{out}/counts")
-    newest = states.agg(F.max("batch")).scalar()
-    return states.where(F.col("batch") == newest).select("day", "event", "n")
+    audit_stream.keep_counts(counts, f"{out}/counts", f"{out}/state").awaitTermination()
+    return read_snapshot(spark, f"{out}/counts", counts.schema)
+
+
+@query("st4_progress", f"""WITH {S.PROFILE} SELECT count(*) AS done, count(*) FILTER (WHERE n_obs < {K.MIN_DATES_ANALYSIS}) AS failed
+  FROM profile""")
+def st4(spark, sf):
+    """Counters that pass by while verdicts are written."""
+    verdicts = parcel_analysis.analyze_observations(observations(spark, sf), KEYS, literature_curves(spark), "2001-12-31",
+                                                    min_dates=K.MIN_DATES_ANALYSIS)
+    counted, seen = progress.count_series(verdicts)
+    counted.write.parquet(f"{fresh_dir(spark)}/verdicts")
+    return spark.createDataFrame([(seen.get["done"], seen.get["failed"])], "done bigint, failed bigint")
 
 
 @query("st3_incremental_verdicts", f"WITH {S.PROFILE}, {S.VERDICT_PARTS}, final AS ({_FINAL}) "

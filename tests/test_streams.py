@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from canopyflow.operators.profiles import monthly_profile
 from canopyflow.plans.parcel_analysis import analyze_observations
 from canopyflow.plans.usage import dashboard
 from canopyflow.sources.curves import literature_curves
-from canopyflow.streaming import audit, progress, verdicts
+from canopyflow.streaming import audit, progress, snapshot, verdicts
 
 from .conftest import golden_rows
 
@@ -122,3 +123,51 @@ def test_profiles_from_state_equal_those_of_a_batch(spark, tmp_path):
         everything = spark.read.schema(schema).parquet(source)
         whole = monthly_profile(scenes.best_per_day(everything, keys, ties), keys)
         assert newest == {(r.series_id, r.region): tuple(r) for r in whole.collect()}
+
+
+def _files(folder):
+    return [p for p in folder.rglob("*.parquet") if p.is_file()]
+
+
+def test_counts_snapshot_follows_late_events(spark, tmp_path):
+    schema = "id bigint, ts timestamp_ntz, event string"
+    day = lambda m, d, h=12: dt.datetime(2026, m, d, h)
+    first = [(i, day(1, 1 + i), "click") for i in range(28)] + [(90, day(2, 1), "login")]
+    second = [(100, day(2, 1, 3), "click"), (101, day(1, 31, 18), "click"), (102, day(2, 2), "click"), (103, None, "click")]
+    # before the third batch the watermark stands at noon of 1 February: January is closed, 1 February still counts
+    third = [(200, day(1, 5), "click"), (201, day(2, 1, 13), "login"), (202, day(3, 1), "click")]
+    source, out, cp = str(tmp_path / "in"), tmp_path / "out", str(tmp_path / "cp")
+    spark.createDataFrame([], schema).write.parquet(source)
+    live = lambda: audit.live_counts(spark.readStream.schema(schema).parquet(source))
+    current = lambda: sorted((r.day, r.event, r.n) for r in snapshot.read_snapshot(spark, str(out), live().schema).collect())
+    assert current() == []
+    counted, seen = Counter(), []
+    for part in (first, second, third):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        audit.keep_counts(live(), str(out), cp).awaitTermination()
+        counted.update((r[1].date(), r[2]) for r in part if r[1] and r[0] != 200)
+        assert current() == sorted((d, e, n) for (d, e), n in counted.items())
+        seen.append({p.parent.name for p in _files(out)})
+    # a month that no batch changes is not written again, and old files go
+    assert seen[2] == {"_part=2026-01", "_part=2026-02", "_part=2026-03"}
+    assert len(_files(out)) <= 2 * 3
+    for i in range(4):
+        spark.createDataFrame([(300 + i, day(3, 2 + i), "click")], schema).coalesce(1).write.mode("append").parquet(source)
+        audit.keep_counts(live(), str(out), cp).awaitTermination()
+    assert len(_files(out)) <= 2 * 3 and len(list((out / "manifest").iterdir())) <= 2 and len(current()) == len(counted) + 4
+
+
+def test_snapshot_batch_can_be_repeated(spark, tmp_path):
+    out, schema = str(tmp_path / "out"), "k int, v string"
+    put = lambda batch, *rows: snapshot.merge_batch(spark.createDataFrame(list(rows), schema), batch, ["k"], (F.col("k") % 2).cast("string"), out)
+    have = lambda: sorted(tuple(r) for r in snapshot.read_snapshot(spark, out, spark.createDataFrame([], schema).schema).collect())
+    put(0, (1, "a"), (2, "b"))
+    put(1, (1, "c"), (3, None))
+    # the second batch failed after its files were written, before its manifest: the first one is still what is read
+    (tmp_path / "out" / "manifest" / "batch=1" / "_SUCCESS").unlink()
+    assert have() == [(1, "a"), (2, "b")]
+    put(1, (1, "c"), (3, None))
+    put(1, (1, "c"), (3, None))
+    assert have() == [(1, "c"), (2, "b"), (3, None)]
+    put(2)
+    assert have() == [(1, "c"), (2, "b"), (3, None)]
