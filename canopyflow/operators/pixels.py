@@ -20,8 +20,8 @@ def band_offset(baseline: str = "baseline") -> Column:
                   F.lit(K.BAND_OFFSET)).otherwise(F.lit(0))
 
 
-def valid_pixels(bands: DataFrame) -> DataFrame:
-    """Usable pixels with their index ``ndvi_e7`` in 1e-7 units.
+def usable_index() -> tuple[Column, Column]:
+    """Whether a pixel is usable, and its index in 1e-7 units.
 
     The offset cancels in the difference of the bands, so it is only needed in
     their sum.  Keeping the expressions this small matters: they are inlined
@@ -30,17 +30,26 @@ def valid_pixels(bands: DataFrame) -> DataFrame:
     total = F.col("b08") + F.col("b04") - 2 * band_offset()
     usable = (F.col("b04") > 0) & (F.col("b08") > 0) & F.col("scl").isin(*K.SCL_KEEP) & (total > K.MIN_BAND_SUM)
     index = (F.col("b08") - F.col("b04")) / total
-    return (bands.where(usable)
-            .withColumn("ndvi_e7", F.floor(index * float(E7) + 0.5).cast("bigint")))
+    return usable, F.floor(index * float(E7) + 0.5).cast("bigint")
+
+
+def valid_pixels(bands: DataFrame) -> DataFrame:
+    """Usable pixels with their index ``ndvi_e7`` in 1e-7 units."""
+    usable, index = usable_index()
+    return bands.where(usable).withColumn("ndvi_e7", index)
 
 
 def scene_points(pixels: DataFrame, keys: Sequence[str], carry: Sequence[Column] = (),
                  min_pixels: int = K.MIN_PIXELS) -> DataFrame:
     """Mean index per key and scene, where enough pixels are valid and the mean is plausible."""
+    return plausible_means(pixels.groupBy(*keys).agg(F.sum("ndvi_e7").alias("total"), F.count(F.lit(1)).alias("pixels"), *carry),
+                           min_pixels)
+
+
+def plausible_means(totals: DataFrame, min_pixels: int = K.MIN_PIXELS) -> DataFrame:
+    """``ndvi_e4`` from the sum ``total`` of ``pixels`` index values."""
     mean = F.col("total") / F.col("pixels") / F.lit(float(E7))
-    return (pixels.groupBy(*keys)
-            .agg(F.sum("ndvi_e7").alias("total"), F.count(F.lit(1)).alias("pixels"), *carry)
-            .where(F.col("pixels") >= min_pixels)
+    return (totals.where(F.col("pixels") >= min_pixels)
             .withColumn("mean", mean)
             .where(F.col("mean").between(K.NDVI_LOW, K.NDVI_HIGH))
             .withColumn("ndvi_e4", F.floor(F.col("mean") * 1e4 + 0.5))

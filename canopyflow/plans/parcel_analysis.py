@@ -12,7 +12,7 @@ from canopyflow.functions.numbers import half_up
 from canopyflow.functions.profile import months_present
 from canopyflow.operators import pixels, profiles, ranking, rules, smoothing
 from canopyflow.operators import scenes as scene_ops
-from canopyflow.sources.pixels import unusable_windows
+from canopyflow.sources.pixels import selected_pixels, window_totals
 
 
 def length_status(profile: DataFrame) -> DataFrame:
@@ -65,12 +65,15 @@ def select_scenes(scenes: DataFrame, keys: Sequence[str], tie_breaks: Sequence[s
 def series_from_pixels(bands: DataFrame, selected: DataFrame, min_pixels: int = K.MIN_PIXELS) -> DataFrame:
     """Observation per parcel and selected scene.
 
-    Pixels are averaged per parcel and scene before they meet the scene list, so
-    only one row per parcel and scene is exchanged, never a pixel.
+    Pixels are read once, those of scenes that were not chosen are left out where
+    the list is short, and pixels are averaged per parcel and scene before they meet
+    the scene list, so only one row per parcel and scene is exchanged, never a pixel.
     """
     window = ["parcel_id", "scene_id"]
-    points = (pixels.scene_points(pixels.valid_pixels(bands), window, min_pixels=min_pixels)
-              .join(unusable_windows(bands), window, "left_anti"))
+    usable, index = pixels.usable_index()
+    totals = window_totals(selected_pixels(bands, selected), F.sum(F.when(usable, index)).alias("total"),
+                           F.count_if(usable).alias("pixels"))
+    points = pixels.plausible_means(totals.where(F.col("reason").isNull()).drop("reason"), min_pixels)
     cloud = half_up(F.coalesce(F.col("cloud").cast("double"), F.lit(0.0)), 1).alias("cloud")
     return points.join(selected.select(*window, "obs_date", cloud, "tile"), window)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = ["parcel_id", "scene_id"]
@@ -32,15 +32,41 @@ def read_window(spark: SparkSession, path: str, tile: str, start: str, end: str,
             .select("scene_id", "px", "py", "obs_date", "baseline", "scl", "b04", "b08"))
 
 
-def unusable_windows(bands: DataFrame) -> DataFrame:
-    """Scenes of a parcel that lack a band or are narrower than two cells, with the reason."""
+def _few(df: DataFrame) -> bool:
+    return df.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS
+
+
+def selected_pixels(bands: DataFrame, selected: DataFrame) -> DataFrame:
+    """Pixels that may belong to the windows of ``selected(parcel_id, scene_id, obs_date, tile)``.
+
+    Only a narrowing: a list of windows that is short by count is broadcast, and
+    beyond that the list of their tiles and months, so no pixel is exchanged; a
+    join with ``selected`` after averaging decides.  On a stored table
+    (``write_pixels``) tile and month of the list prune partitions at run time.
+    """
+    place = ["tile", "month"] if {"tile", "month"} <= set(bands.columns) else []
+    wanted = selected.withColumn("month", F.trunc("obs_date", "month")).select(*WINDOW, *place)
+    if _few(wanted):
+        return bands.join(F.broadcast(wanted), [*WINDOW, *place], "left_semi")
+    places = wanted.select(*place).distinct()
+    return bands.join(F.broadcast(places), place, "left_semi") if place and _few(places) else bands
+
+
+def window_totals(bands: DataFrame, *more: Column) -> DataFrame:
+    """What one pass over the pixels tells of each window: ``reason`` it is unusable
+    for, if any, and aggregates ``more``."""
     seen = bands.groupBy(*WINDOW).agg(
         *[F.count(c).alias(f"n_{c}") for c in ("b04", "b08", "scl")],
-        (F.max("px") - F.min("px") + 1).alias("width"), (F.max("py") - F.min("py") + 1).alias("height"))
+        (F.max("px") - F.min("px") + 1).alias("width"), (F.max("py") - F.min("py") + 1).alias("height"), *more)
     missing = F.least(F.col("n_b04"), F.col("n_b08"), F.col("n_scl")) == 0
     reason = (F.when(missing, F.lit("missing_band"))
               .when(F.least(F.col("width"), F.col("height")) < 2, F.lit("narrow_window")))
-    return seen.select(*WINDOW, reason.alias("reason")).where(F.col("reason").isNotNull())
+    return seen.withColumn("reason", reason).drop("n_b04", "n_b08", "n_scl", "width", "height")
+
+
+def unusable_windows(bands: DataFrame) -> DataFrame:
+    """Scenes of a parcel that lack a band or are narrower than two cells, with the reason."""
+    return window_totals(bands).where(F.col("reason").isNotNull())
 
 
 def without_windows(bands: DataFrame, rejects: DataFrame) -> DataFrame:
@@ -50,5 +76,4 @@ def without_windows(bands: DataFrame, rejects: DataFrame) -> DataFrame:
     broadcast, which spares the pixels an exchange.
     """
     listed = rejects.select(*WINDOW)
-    few = listed.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS
-    return bands.join(F.broadcast(listed) if few else listed, WINDOW, "left_anti")
+    return bands.join(F.broadcast(listed) if _few(listed) else listed, WINDOW, "left_anti")

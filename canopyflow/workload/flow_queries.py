@@ -15,6 +15,7 @@ from canopyflow.session import shared_dir
 from canopyflow.sinks import files
 from canopyflow.sources import geojson
 from canopyflow.sources import samples as sample_store
+from canopyflow.sources.pixels import write_pixels
 from canopyflow.sources.curves import land_use_classes, literature_curves
 from canopyflow.streaming import audit as audit_stream
 from canopyflow.streaming import progress
@@ -67,6 +68,25 @@ def analysis_from_pixels(spark, sf):
                            F.col("best.class").alias("best_class"), F.col("best.similarity").alias("best_similarity"), "margin")
 
 
+@query("src2_stored_scenes", f"""WITH {PS.VALID}, listed AS (SELECT parcel_id, year(obs_date) * 100 + month(obs_date) AS scene_id,
+    max(obs_date) AS obs_date, max(b04) % 101 AS cloud FROM pixel_bands GROUP BY 1, 2),
+  points AS (SELECT parcel_id, year(obs_date) * 100 + month(obs_date) AS scene_id, count(*) AS pixels,
+    CAST(sum(ndvi_e7) AS DOUBLE) / count(*) / 1e7::DOUBLE AS mean FROM valid GROUP BY 1, 2),
+  narrow AS (SELECT parcel_id, year(obs_date) * 100 + month(obs_date) AS scene_id FROM pixel_bands GROUP BY 1, 2
+    HAVING max(px) - min(px) < 1 OR max(py) - min(py) < 1)
+SELECT parcel_id, scene_id, pixels, CAST(floor(mean * 1e4::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS ndvi_e4, obs_date, 'T' || parcel_id % 3 AS tile
+  FROM points JOIN listed USING (parcel_id, scene_id) ANTI JOIN narrow USING (parcel_id, scene_id)
+  WHERE cloud < 40 AND pixels >= 2 AND mean BETWEEN -0.2::DOUBLE AND 0.98::DOUBLE""")
+def src2_stored(spark, sf):
+    """Pixels stored by tile and month, of which the chosen scenes are read."""
+    tile = F.concat(F.lit("T"), (F.col("parcel_id") % 3).cast("string"))
+    bands, listed = monthly_scenes(V.pixel_bands(spark, sf))
+    path = fresh_dir(spark)
+    write_pixels(bands.withColumn("tile", tile), path)
+    chosen = parcel_analysis.select_scenes(listed.withColumn("tile", tile).where("cloud < 40"), ["parcel_id"], ["scene_id"])
+    return parcel_analysis.series_from_pixels(spark.read.parquet(path), chosen, min_pixels=2).drop("cloud")
+
+
 @query("calibration_from_series", f"""WITH {_CURVES.replace("'outra_lavoura'", "'pastagem'")} SELECT class, n_samples, {S.ALL} FROM calibrated""")
 def calibration_from_series(spark, sf):
     obs = observations(spark, sf)

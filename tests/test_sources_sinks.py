@@ -172,3 +172,28 @@ def test_all_geometry_types_keep_their_coordinates(spark, tmp_path):
         assert {f["geometry"]["type"]: f["geometry"]["coordinates"] for f in back[:6]} == {k: rounded(c, n) for k, c in kinds.items()}
         assert back[6]["geometry"]["geometries"] == [{**g, "coordinates": rounded(g["coordinates"], n)} for g in parts]
         assert back[7]["geometry"] is None and back[7]["properties"] == {}
+
+
+def test_stored_pixels_are_read_once_and_only_where_chosen(spark, tmp_path, monkeypatch):
+    from canopyflow.plans.parcel_analysis import select_scenes, series_from_pixels
+    from canopyflow.sources import pixels as P
+    rows = [(p, 10 * m + s, x, y, "AB"[p % 2], dt.date(2026, m, 5 + s), "04.00", 4, 2000, 3000 + 100 * m + s)
+            for p in range(4) for m in range(1, 7) for s in (0, 1) for x in range(4) for y in range(4)]
+    rows += [(0, 99, x, 0, "A", dt.date(2026, 2, 20), "04.00", 4, 2000, 4000) for x in range(12)]
+    P.write_pixels(spark.createDataFrame(rows, "parcel_id bigint, scene_id bigint, px int, py int, tile string, obs_date date, "
+                                               "baseline string, scl int, b04 int, b08 int"), str(tmp_path / "px"))
+    scenes = [(p, 10 * m + s, "AB"[p % 2], dt.date(2026, m, 5 + s), 1.0 * s) for p in range(4) for m in (2, 5) for s in (0, 1)]
+    scenes += [(0, 99, "A", dt.date(2026, 2, 20), 0.0), (3, 777, "B", dt.date(2026, 3, 1), 0.0)]
+    listed = spark.createDataFrame(scenes, "parcel_id bigint, scene_id bigint, tile string, obs_date date, cloud double")
+    chosen = select_scenes(listed, ["parcel_id"], ["scene_id"])
+    found = []
+    for most in (P.FEW_WINDOWS, 6, 0):  # windows are broadcast, then tiles and months (5 of them), then nothing
+        monkeypatch.setattr(P, "FEW_WINDOWS", most)
+        series = series_from_pixels(spark.read.parquet(str(tmp_path / "px")), chosen)
+        plan = series._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        assert len(scans) == 1 and ("dynamicpruning" in scans[0]) == (most > 0)
+        found.append(sorted(tuple(r) for r in series.collect()))
+    assert found[0] == found[1] == found[2]
+    # a narrow window and a scene without pixels give no observation
+    assert {r[:2] for r in found[0]} == {(p, 10 * m + s) for p in range(4) for m in (2, 5) for s in (0, 1)}
