@@ -1,12 +1,12 @@
 """Photo features: colour statistics, texture, and summaries per class.
 
 Two forms give the same table: one over a pixel table, all in Spark expressions,
-and one over encoded image files, where a bounded image (512 pixels a side after
-down-sampling) is reduced to one row inside its task.
+and one over decoded image files, where a photo becomes one row inside its task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from canopyflow.functions import colour as C
 from canopyflow.functions.numbers import E7, half_up, to_fixed
 
-MAX_IMAGE_SIDE = 512
+#: Pixels of a photo that are looked at together.
+BLOCK_PIXELS = 1 << 18
 FEATURES = ("r_mean", "g_mean", "b_mean", "r_std", "g_std", "b_std", "exg_mean", "vari_mean", "gli_mean",
             "px_green", "px_yellow", "glcm_contrast", "glcm_homogeneity")
 
@@ -80,28 +81,60 @@ def class_summary(features: DataFrame) -> DataFrame:
                                          mean5("px_yellow").alias("yellow"))
 
 
-def image_row(rgb: np.ndarray) -> dict[str, float]:
-    """The thirteen features of one decoded image of shape (height, width, 3)."""
-    step = max(1, -(-max(rgb.shape[:2]) // MAX_IMAGE_SIDE))
-    if step > 1:
-        h, w = (s - s % step for s in rgb.shape[:2])
-        blocks = rgb[:h, :w].reshape(h // step, step, w // step, step, 3)
-        rgb = np.round(blocks.mean(axis=(1, 3)))
-    a = rgb.astype(float) / 255.0
-    r, g, b = a[..., 0], a[..., 1], a[..., 2]
+def _reduced(rgb: np.ndarray, max_side: int) -> np.ndarray:
+    """Block means such that no side is above ``max_side``; blocks at the right and
+    lower edge are smaller, so every pixel counts."""
+    step = max(1, -(-max(rgb.shape[:2]) // max_side))
+    if step == 1:
+        return rgb
+    down, across = (np.arange(0, side, step) for side in rgb.shape[:2])
+    total = np.add.reduceat(np.add.reduceat(rgb.astype(np.int64), down, axis=0), across, axis=1)
+    cells = np.outer(np.diff(np.r_[down, rgb.shape[0]]), np.diff(np.r_[across, rgb.shape[1]]))
+    return (2 * total + cells[..., None]) // (2 * cells[..., None])
+
+
+def _half_up(value: float) -> float:
+    return math.floor(value * 1e5 + 0.5) / 1e5
+
+
+def image_row(rgb: np.ndarray, max_side: int | None = None) -> dict[str, float | None]:
+    """The thirteen features of one decoded image of shape (height, width, 3).
+
+    Sums are integers over all pixels, taken in blocks of rows, and equal those of
+    ``photo_features``; an image one pixel wide has no texture, one without pixels
+    no feature at all.
+    """
+    if max_side is not None:
+        rgb = _reduced(rgb, max_side)
+    n, pairs = rgb.shape[0] * rgb.shape[1], rgb.shape[0] * max(0, rgb.shape[1] - 1)
+    if n == 0:
+        return dict.fromkeys(FEATURES)
+    first, second, fixed, shares = np.zeros(3, np.int64), np.zeros(3, np.int64), np.zeros(3, np.int64), np.zeros(2, np.int64)
+    gaps = np.zeros(C.GRAY_LEVELS ** 2, np.int64)
     wr, wg, wb = C.GRAY_WEIGHTS
-    level = np.floor((wr * r + wg * g + wb * b) * (C.GRAY_LEVELS - 1)).astype(int)
-    gap = (level[:, :-1] - level[:, 1:]) ** 2
-    values = (r.mean(), g.mean(), b.mean(), r.std(), g.std(), b.std(), (2 * g - r - b).mean(),
-              ((g - r) / (g + r - b + C.EPSILON)).mean(),
-              ((2 * g - r - b) / (2 * g + r + b + C.EPSILON)).mean(),
-              ((g > r) & (g > b)).mean(), ((np.abs(r - g) < C.YELLOW_GAP) & (r > b + C.YELLOW_LEAD)).mean(),
-              gap.mean() if gap.size else np.nan, (1 / (1 + gap)).mean() if gap.size else np.nan)
-    return {name: round(float(v), 5) for name, v in zip(FEATURES, values)}
-
-
-def file_features(images: DataFrame) -> DataFrame:
-    """Features of ``images(class, file, height, width, n_channels, data)``."""
+    rows = max(1, BLOCK_PIXELS // rgb.shape[1])
+    for top in range(0, rgb.shape[0], rows):
+        block = rgb[top:top + rows].astype(np.int64)
+        first += block.sum(axis=(0, 1))
+        second += (block * block).sum(axis=(0, 1))
+        r, g, b = (block[..., c] / 255.0 for c in range(3))
+        index = (2.0 * g - r - b, (g - r) / (g + r - b + C.EPSILON), (2.0 * g - r - b) / (2.0 * g + r + b + C.EPSILON))
+        fixed += [np.floor(i * float(E7) + 0.5).astype(np.int64).sum() for i in index]
+        shares += [((g > r) & (g > b)).sum(), ((np.abs(r - g) < C.YELLOW_GAP) & (r > b + C.YELLOW_LEAD)).sum()]
+        level = np.floor((wr * r + wg * g + wb * b) * float(C.GRAY_LEVELS - 1)).astype(np.int64)
+        gaps += np.bincount(((level[:, :-1] - level[:, 1:]) ** 2).ravel(), minlength=len(gaps))
+    values = [int(s) / n / 255.0 for s in first]
+    values += [math.sqrt(float(n * int(q) - int(s) ** 2)) / n / 255.0 for s, q in zip(first, second)]
+    values += [int(s) / n / float(E7) for s in fixed] + [int(s) / n for s in shares]
+    if pairs:
+        seen = np.flatnonzero(gaps).tolist()
+        values += [sum(int(gaps[d]) * d for d in seen) / pairs, sum(int(gaps[d]) / (1.0 + d) for d in seen) / pairs]
+    return dict.fromkeys(FEATURES) | {name: _half_up(v) for name, v in zip(FEATURES, values)}
+
+
+def file_features(images: DataFrame, max_side: int | None = None) -> DataFrame:
+    """Features of ``images(class, file, height, width, n_channels, data)``, over all
+    pixels or, with ``max_side``, over block means of larger photos."""
     schema = "class string, file string, " + ", ".join(f"{f} double" for f in FEATURES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,8 +143,8 @@ def file_features(images: DataFrame) -> DataFrame:
             for row in batch.itertuples(index=False):
                 grid = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, row.n_channels)
                 # stored blue first; a single channel is gray
-                rgb = grid[..., [2, 1, 0]] if row.n_channels >= 3 else np.repeat(grid, 3, axis=2)
-                rows.append({"class": row[0], "file": row.file, **image_row(rgb)})
-            yield pd.DataFrame(rows, columns=["class", "file", *FEATURES])
+                rgb = grid[..., [2, 1, 0]] if row.n_channels >= 3 else np.repeat(grid[..., :1], 3, axis=2)
+                rows.append({"class": row[0], "file": row.file, **image_row(rgb, max_side)})
+            yield pd.DataFrame(rows, columns=["class", "file", *FEATURES]).astype(dict.fromkeys(FEATURES, float))
 
-    return images.mapInPandas(run, schema)
+    return images.select("class", "file", "height", "width", "n_channels", "data").mapInPandas(run, schema)

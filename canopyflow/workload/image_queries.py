@@ -58,6 +58,30 @@ def a19(spark, sf):
     return images.texture(V.photo_pixels(spark, sf), KEYS)
 
 
+# photos as files hold them: 64 rows of 7 pixels, black where the table has none
+_FILES = V.PHOTO_PIXELS.replace("photo AS", "seen AS", 1) + """, photo AS (SELECT image_id, class, y, x, coalesce(r, 0) AS r,
+  coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT DISTINCT image_id, class FROM seen) CROSS JOIN range(64) AS rows(y)
+  CROSS JOIN range(1, 8) AS columns_(x) LEFT JOIN seen USING (image_id, class, y, x))"""
+
+
+@query("a18_photo_files", f"""WITH {_STATS.replace(V.PHOTO_PIXELS, _FILES)}, pairs AS (SELECT p.image_id, (p.level - q.level) * (p.level - q.level) AS gap
+  FROM indexed p JOIN indexed q ON q.image_id = p.image_id AND q.y = p.y AND q.x = p.x + 1),
+  gaps AS (SELECT image_id, gap, count(*) AS n FROM pairs GROUP BY 1, 2),
+  textures AS (SELECT image_id, {half_up("CAST(sum(n * gap) AS DOUBLE) / sum(n)", 5)} AS glcm_contrast,
+  {half_up("list_reduce(list_prepend(0.0::DOUBLE, list(n / (1.0::DOUBLE + gap) ORDER BY gap)), lambda a, v: a + v) / sum(n)", 5)} AS glcm_homogeneity
+  FROM gaps GROUP BY 1)
+SELECT stats.* EXCLUDE (image_id), image_id || '.png' AS file, glcm_contrast, glcm_homogeneity FROM stats JOIN textures USING (image_id)""")
+def a18_files(spark, sf):
+    """The file form of the features, over photos put together from the pixel table."""
+    colour = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in ("b", "g", "r")])
+    cell = F.struct((F.col("y") * 7 + F.col("x") - 1).cast("int"), colour)
+    photos = V.photo_pixels(spark, sf).groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    data = F.transform(F.sequence(F.lit(0), F.lit(64 * 7 - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit("000000")))
+    files = photos.select("class", F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("file"), F.lit(64).alias("height"),
+                          F.lit(7).alias("width"), F.lit(3).alias("n_channels"), F.unhex(F.array_join(data, "")).alias("data"))
+    return images.file_features(files)
+
+
 @query("a20_photo_class_summary", f"""WITH {_STATS} SELECT class, count(*) AS n,
   {half_up("sum(floor(exg_mean * 1e5::DOUBLE + 0.5::DOUBLE)) / count(*) / 1e5::DOUBLE", 3)} AS exg,
   {half_up("sum(floor(px_yellow * 1e5::DOUBLE + 0.5::DOUBLE)) / count(*) / 1e5::DOUBLE", 3)} AS yellow FROM stats GROUP BY 1""")
