@@ -78,9 +78,24 @@ def monthly_composite(pixels: DataFrame, pixel_keys: Sequence[str] = tuple(PIXEL
     return wide.withColumn("n_months", present).where(F.col("n_months") >= min_months)
 
 
-def coarsen(bands: DataFrame, factor: int, keys: Sequence[str]) -> DataFrame:
+def coarsen(bands: DataFrame, factor: int | Column, keys: Sequence[str]) -> DataFrame:
     """Average blocks of ``factor`` x ``factor`` cells; the class code is the block's first."""
     block = [F.floor(F.col(c) / factor).alias(c) for c in ("px", "py")]
     return bands.groupBy(*keys, *block).agg(
         F.avg("b04").alias("b04"), F.avg("b08").alias("b08"),
         F.min(F.struct("py", "px", "scl")).getField("scl").alias("scl"))
+
+
+def on_grid(bands: DataFrame, grids: DataFrame, cell: float = 10.0) -> DataFrame:
+    """Pixels of ``cell`` metres on the cells of each parcel's grid (``grid_for_parcel``).
+
+    Where a grid is coarser, blocks of its size are averaged, so that a cell of the
+    result has the area the grid states; other parcels' pixels stay as they are and
+    are not exchanged, and parcels without a grid count as such.  Columns besides
+    the position and the bands must be those of a scene.
+    """
+    coarse = grids.where(F.col("res") > cell).select("parcel_id", F.round(F.col("res") / cell).cast("int").alias("_factor"))
+    measured = ["px", "py", "b04", "b08", "scl"]
+    scene = [c for c in bands.columns if c not in measured]
+    merged = coarsen(bands.join(coarse, "parcel_id"), F.col("_factor"), [*scene, "_factor"]).drop("_factor")
+    return bands.join(coarse, "parcel_id", "left_anti").select(*scene, *measured).unionByName(merged)

@@ -51,16 +51,19 @@ def classify_zones(zone_profiles: DataFrame, curves: DataFrame, overrides: dict[
 def map_land_use(bands: DataFrame, grids: DataFrame, curves: DataFrame, rgb: DataFrame | None = None,
                  min_area_ha: float = 2.0, zones: int | None = None, rounds: int = 25,
                  overrides: dict[str, float] | None = None, clip: bool = False,
-                 max_regions: int | None = None) -> LandUse:
+                 max_regions: int | None = None, cell: float | None = None) -> LandUse:
     """The whole zoning for all parcels at once.
 
     ``bands`` are property pixels with raw band values, ``grids`` comes from
     ``grid_for_parcel``.  With ``rgb`` the corn mask follows visible edges.
     ``clip`` keeps sieved classes inside their original pixels, and outlines of
     neighbouring classes then share their borders; without it hole filling may let
-    classes overlap.
+    classes overlap.  ``cell`` is the size of the pixels in metres where they are not
+    on the cells of ``grids`` yet: parcels with a coarser grid are then averaged.
     """
     spark = bands.sparkSession
+    if cell is not None:
+        bands = pixels.on_grid(bands, grids, cell)
     rejects = cut_lineage(unusable_windows(bands))
     property_cells = bands.select("parcel_id", "px", "py")
     bands = without_windows(bands, rejects)

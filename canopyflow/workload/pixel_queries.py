@@ -60,6 +60,18 @@ def src2_windows(spark, sf):
     return unusable_windows(V.pixel_bands(spark, sf))
 
 
+@query("f14_pixels_on_grid", f"""WITH {S.PIXEL_BANDS}, placed AS (SELECT *, year(obs_date) AS scene_id_, 1 + parcel_id % 3 AS f FROM pixel_bands)
+SELECT parcel_id, scene_id_ AS scene_id, px // f AS px, py // f AS py, avg(b04) AS b04, avg(b08) AS b08,
+  min(ROW(py, px, scl))[3]::INT AS scl, 100.0::DOUBLE * f * f AS cell_m2 FROM placed WHERE f > 1 GROUP BY 1, 2, 3, 4, f
+UNION ALL SELECT parcel_id, scene_id_, px, py, b04, b08, scl, 100 FROM placed WHERE f = 1""")
+def f14_pixels(spark, sf):
+    """Grids of 10, 20 and 30 m; years stand in for scenes, so that blocks have several pixels."""
+    bands = V.pixel_bands(spark, sf).withColumn("scene_id", F.year("obs_date")).drop("obs_date", "baseline")
+    side = 1 + F.col("parcel_id") % 3
+    placed = pixels.on_grid(bands, bands.select("parcel_id").distinct().select("parcel_id", (F.lit(10.0) * side).alias("res")))
+    return placed.select("*", (F.lit(100.0) * side * side).alias("cell_m2"))
+
+
 @query("p1_band_offset", f"""WITH {S.VALID} SELECT baseline, off AS band_offset, count(*) AS n FROM shifted GROUP BY 1, 2""")
 def p1(spark, sf):
     return (V.pixel_bands(spark, sf).groupBy("baseline", pixels.band_offset().alias("band_offset"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from canopyflow.functions import rings as R
 from canopyflow.functions.geodesy import epsg_code, grid_zone, project, unproject
+from canopyflow.operators import pixels
 from canopyflow.operators import parcels as P
 from canopyflow.operators import spatial
 
@@ -119,6 +120,24 @@ def test_reference_grid_is_capped(spark):
     assert coarse.res % 10 == 0 and max(coarse.width, coarse.height) <= 100
 
 
+def test_pixels_follow_a_coarser_grid(spark):
+    sides = {1: 1085, 2: 40}  # cells of 10 m
+    grids = spark.createDataFrame([(1, 20.0, 543, 543), (2, 10.0, 40, 40)], "parcel_id int, res double, width int, height int")
+    bands = spark.createDataFrame([(p, n) for p, n in sides.items()], "parcel_id int, n int").select(
+        "parcel_id", F.lit(7).alias("scene_id"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("px"), "n").select(
+        "parcel_id", "scene_id", "px", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("py")).withColumns(
+        {"b04": F.when(F.col("px") != 3, F.col("px")), "b08": F.col("py"), "scl": (F.col("px") + F.col("py")) % 7})
+    placed = pixels.on_grid(bands, grids).cache()
+    seen = {r.parcel_id: r for r in placed.groupBy("parcel_id").agg(
+        F.count("*").alias("n"), F.max("px").alias("px"), F.max("py").alias("py"), F.sum("b08").alias("b08")).collect()}
+    # as many cells as the grid has, so areas by res * res are right
+    assert (seen[1].n, seen[1].px, seen[1].py) == (543 * 543, 542, 542)
+    assert (seen[2].n, seen[2].px, seen[2].py, seen[2].b08) == (1600, 39, 39, 40 * 780)
+    cells = {(r.px, r.py): (r.b04, r.b08, r.scl) for r in placed.where("parcel_id = 1 and px < 2 and py < 2").collect()}
+    assert cells[0, 0] == (.5, .5, 0) and cells[1, 1] == (2.0, 2.5, 4)
+    placed.unpersist()
+
+
 def test_request_and_area_checks(spark):
     req = spark.createDataFrame([("Polygon", 50, 140, 2.0), ("MultiPolygon", 50, 140, 2.0), (None, 50, 140, 2.0),
                                  ("Polygon", 101, 140, 2.0), ("Polygon", 50, 250, 2.0), ("Polygon", 50, 8, 0.05)],
