@@ -93,10 +93,11 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """``df`` with its 0-based, gapless rank within ``group`` as ``name``.
 
     A group may hold a third of all rows: it is dealt over buckets, ranked in
-    each, and moved up by what the buckets before it hold.
+    each, and moved up by what the buckets before it hold.  The hash of a bucket is
+    salted: groups are often hashes of the same columns, and would fill few buckets.
     """
     buckets = max(64, df.count() // 50_000)
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("bucket"), *order), F.lit(buckets)))
     per = dealt.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window
 
