@@ -73,23 +73,30 @@ def warp_to_curves(profile: Column | str, curves: Column | str, band: int = WARP
 
 
 def warp_sql(a: str, b: str, band: int = WARP_BAND, length: int = 12) -> str:
-    """The same recursion as one SQL expression returning ``struct<cost,shift>``."""
-    inf = "CAST('Infinity' AS DOUBLE)"
-    blank = f"named_struct('c', {inf}, 's', 0D, 'n', 0D)"
+    """The same recursion as one SQL expression returning ``struct<cost,shift>``.
+
+    A line holds the cells of the band only, by ``k = j - i + band``: the diagonal is
+    ``k`` of the line before, the step in the first series ``k + 1``.  Both profiles
+    are bound once, whatever expressions they are.
+    """
+    blank = "named_struct('c', CAST('Infinity' AS DOUBLE), 's', 0D, 'n', 0D)"
     start = "named_struct('c', 0D, 's', 0D, 'n', 0D)"
     choose = (
-        "CASE WHEN row[j - 1].c <= row[j].c AND row[j - 1].c <= element_at(cur, -1).c THEN row[j - 1] "
-        "WHEN row[j].c <= element_at(cur, -1).c THEN row[j] ELSE element_at(cur, -1) END"
+        "CASE WHEN row[k].c <= row[k + 1].c AND row[k].c <= element_at(cur, -1).c THEN row[k] "
+        "WHEN row[k + 1].c <= element_at(cur, -1).c THEN row[k + 1] ELSE element_at(cur, -1) END"
     )
     cell = (
-        f"CASE WHEN abs(i - j) > {band} THEN {blank} ELSE transform(array({choose}), p -> "
-        f"named_struct('c', abs(({a})[i - 1] - ({b})[j - 1]) + p.c, 's', p.s + (i - j), 'n', p.n + 1D))[0] END"
+        f"CASE WHEN i + k - {band} BETWEEN 1 AND {length} THEN transform(array({choose}), p -> "
+        f"named_struct('c', abs(v.a[i - 1] - v.b[i + k - {band + 1}]) + p.c, 's', p.s + ({band} - k), 'n', p.n + 1D))[0] "
+        f"ELSE {blank} END"
     )
-    line = f"aggregate(sequence(1, {length}), array({blank}), (cur, j) -> concat(cur, array({cell})))"
+    line = (f"slice(aggregate(sequence(0, {2 * band}), array({blank}), (cur, k) -> concat(cur, array({cell}))), "
+            f"2, {2 * band + 1})")
+    first = f"concat(array_repeat({blank}, {band}), array({start}), array_repeat({blank}, {band + 1}))"
     return (
-        f"aggregate(sequence(1, {length}), concat(array({start}), array_repeat({blank}, {length})), "
-        f"(row, i) -> {line}, row -> named_struct('cost', element_at(row, -1).c / {length}, "
-        "'shift', element_at(row, -1).s / element_at(row, -1).n))"
+        f"transform(array(named_struct('a', {a}, 'b', {b})), v -> aggregate(sequence(1, {length}), {first}, "
+        f"(row, i) -> concat({line}, array({blank})), row -> named_struct('cost', row[{band}].c / {length}, "
+        f"'shift', row[{band}].s / row[{band}].n)))[0]"
     )
 
 
