@@ -53,8 +53,12 @@ def rank_curves(profiles: DataFrame, curves: DataFrame, band: int = K.WARP_BAND,
 
 
 def ranking_rows(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long form, one row per series and curve with its rank."""
-    exploded = ranked.select(*keys, F.posexplode("ranking").alias("pos", "r"))
+    """Long form, one row per series and curve with its rank.
+
+    The outer form keeps the optimizer from testing the ranking for emptiness first,
+    which would compute it once more for every test.
+    """
+    exploded = ranked.select(*keys, F.posexplode_outer("ranking").alias("pos", "r")).where(F.col("pos").isNotNull())
     return exploded.select(
         *keys, (F.col("pos") + 1).alias("rank"), F.col("r.class").alias("class"),
         F.col("r.label").alias("label"), (F.col("r.distance_e4") / F.lit(1e4)).alias("distance"),

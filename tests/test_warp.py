@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from canopyflow.functions.warp import register_sql_functions, warp_batch, warp_native, warp_to_curves
+from canopyflow.functions.warp import register_sql_functions, warp_batch, warp_native, warp_sql, warp_to_curves
+from canopyflow.operators import ranking
+from canopyflow.sources.curves import literature_curves
 
 
 def plain(a, b, band=3):
@@ -52,3 +54,25 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT warp_distance(a, a).cost AS c, cyclic_fill(b)[1] AS f FROM VALUES "
                     "(array_repeat(0.5D, 12), concat(array(1D, NULL, 3D), array_repeat(1D, 9))) AS t(a, b)").first()
     assert (row.c, row.f) == (0.0, 2.0)
+
+
+def test_sql_form_takes_any_expression_and_band(spark):
+    """Profiles may be expressions; they stand in the text once, so none is computed per cell."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(0, 9, 12).astype(float).tolist(), rng.integers(0, 9, 12).astype(float).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>").repartition(3)
+    for band in (0, 1, 5, 12):
+        text = warp_sql("transform(a, v -> v * 2)", "transform(b, v -> v + 1)", band)
+        assert text.count("v * 2") == text.count("v + 1") == 1
+        for r in df.select("id", F.expr(text).alias("w")).collect():
+            _, a, b = rows[r.id]
+            assert (r.w.cost, r.w.shift) == plain([v * 2 for v in a], [v + 1 for v in b], band)
+    assert "v * 2" in warp_sql("transform(a, v -> v * 2)", "b").split("aggregate")[0]
+
+
+def test_ranking_is_computed_once(spark, capsys):
+    df = spark.createDataFrame([(1, [0.1] * 12), (2, None)], "series_id int, monthly array<double>")
+    rows = ranking.ranking_rows(ranking.rank_curves(df, literature_curves(spark), native=True), ["series_id"])
+    rows.explain("extended")
+    assert capsys.readouterr().out.split("== Optimized")[1].split("== Physical")[0].count("array_sort") == 1
+    assert {r.series_id for r in rows.collect()} == {1} and rows.count() == 5
