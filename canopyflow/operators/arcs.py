@@ -14,10 +14,11 @@ of one region, which are no more than its result; grids may have any size.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ TILE = 256
 #: Steps right, down, left and up; rows count downwards.
 STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))
 RINGS_TYPE = "array<array<array<double>>>"
+_RINGS = pa.list_(pa.list_(pa.list_(pa.float64())))
 
 
 def trace(labels: np.ndarray):
@@ -207,12 +209,21 @@ def outlined(labelled: DataFrame, grids: DataFrame, layer: Sequence[str], region
     keys = [*layer, *region]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", rings {RINGS_TYPE}, ring_cells array<long>"
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ay", "ax", "first"])
-        points = [[list(map(float, p)) for p in line] for line in group.points]
-        found = rings_of(list(zip(zip(group.ax, group.ay), zip(group.bx, group.by), group["first"], group["last"], group.cross, points)))
-        found.sort(key=lambda r: (-r[1], r[0]))
-        return pd.DataFrame([[*(group.iloc[0][c] for c in keys), [r for r, _ in found], [int(a) for _, a in found]]],
-                            columns=[*keys, "rings", "ring_cells"])
-
-    return arcs.groupBy(*keys).applyInPandas(joined, schema)
+    parts = F.struct("ay", "ax", "first", "by", "bx", "last", "cross", "points")
+
+    # a row is a region; a call of its own for each would cost more than its arcs
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings, cells = [], []
+            for listed in batch["arcs"]:
+                found = rings_of([((a["ax"], a["ay"]), (a["bx"], a["by"]), a["first"], a["last"], a["cross"], a["points"])
+                                  for a in listed.as_py()])
+                found.sort(key=lambda r: (-r[1], r[0]))
+                rings.append([r for r, _ in found])
+                cells.append([int(a) for _, a in found])
+            kept = [batch[c] for c in keys]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rings, _RINGS), pa.array(cells, pa.list_(pa.int64()))],
+                                             [*keys, "rings", "ring_cells"])
+
+    regions = arcs.groupBy(*keys).agg(F.sort_array(F.collect_list(parts)).alias("arcs"))
+    return regions.select(*keys, "arcs").mapInArrow(joined, schema)

@@ -7,6 +7,7 @@ import pytest
 
 from canopyflow.operators import arcs, regions
 from tests.test_regions import flood
+from tests.test_skew_and_plans import plan_of
 
 RUNS = "parcel_id int, class string, region_id long, py long, x0 long, x1 long"
 
@@ -116,3 +117,13 @@ def test_one_class_at_a_time_and_empty(runs, frames, exact):
     alone = collected(arcs.outlined(runs, frames, regions.MASK, ["region_id"], None))
     assert {k: r.ring_cells for k, r in alone.items()} == {k: r.ring_cells for k, r in exact.items()}
     assert arcs.outlined(runs.limit(0), frames, *SHARED, 0.0001).count() == 0
+
+
+def test_regions_are_joined_in_batches(spark):
+    """Only tiles are calls of their own; the many regions share theirs."""
+    runs = spark.createDataFrame([(1, "a", 0, 0, 0, 0), (1, "b", 1, 0, 1, 1), (1, "a", 2, 0, 2, 5)],
+                                 "parcel_id long, class string, region_id long, py long, x0 long, x1 long")
+    frames = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 21, True)], "parcel_id long, origin_x double, origin_y double, res double, zone int, south boolean")
+    rings = arcs.outlined(runs, frames, ["parcel_id"], ["class", "region_id"], None)
+    assert "MapInArrow" in plan_of(rings)
+    assert {(r["class"], r.region_id): r.ring_cells for r in rings.collect()} == {("a", 0): [1], ("b", 1): [2], ("a", 2): [6]}
