@@ -107,3 +107,18 @@ def test_property_cells_of_a_parcel_grid(spark):
         # the grid covers the projected box of the polygon, which the polygon itself need not fill
         assert 0 <= r.a <= 1 and 0 <= r.c <= 1
         assert 0 <= sides[r.parcel_id].height - 1 - r.b <= 1 and 0 <= sides[r.parcel_id].width - 1 - r.d <= 1
+
+
+def test_edges_are_listed_by_row_inside_tasks(spark):
+    """A polygon over many rows is exchanged by edge and block, not by edge and row."""
+    tall = {1: [closed((0.5, -300.5), (3.5, -300.5), (3.5, 700.5), (0.5, 700.5))], 2: None, 3: [[[None, 1.0], [2.0, 2.0], [3.0, None]]]}
+    runs = runs_of(spark, tall)
+    assert "Window" not in plan_of(runs)
+    assert sorted((r.parcel_id, r.py, r.x0, r.x1) for r in runs.collect()) == [(1, y, 0, 3) for y in range(-301, 701)]
+
+
+@pytest.mark.parametrize("rows", [1, 7])
+def test_steps_of_a_task_change_nothing(spark, monkeypatch, rows):
+    whole = sorted(map(tuple, runs_of(spark, POLYGONS).collect()))
+    monkeypatch.setattr(scanline, "STEP_ROWS", rows)
+    assert sorted(map(tuple, runs_of(spark, POLYGONS).collect())) == whole
