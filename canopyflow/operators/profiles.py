@@ -32,15 +32,19 @@ def monthly_profile(observations: DataFrame, keys: Sequence[str], date: str = "o
 
     One aggregation with twelve conditional integer sums: the map side reduces
     every series to at most one row per partition before the only exchange.
+    ``n_months`` counts the months with a value from one mask of bits, so that who
+    needs no more does not hold the sums.
     """
-    sums = []
+    seen = F.bit_or(F.when(F.col(value_e4).isNotNull(), F.call_function("shiftleft", F.lit(1), F.col("month") - 1)))
+    sums = [seen.alias("seen_months")]
     for m in MONTHS:
         hit = F.when(F.col("month") == m, F.col(value_e4))
         sums += [F.sum(hit).alias(f"s{m}"), F.count(hit).alias(f"c{m}")]
     totals = observations.withColumn("month", F.month(date)).groupBy(*keys).agg(
         *sums, F.count(F.lit(1)).alias("n_obs"), F.max(date).alias("last_date"))
     means = month_means(lambda m: F.col(f"s{m}"), lambda m: F.col(f"c{m}"))
-    return totals.select(*keys, *means, "n_obs", "last_date")
+    n_months = F.bit_count(F.coalesce("seen_months", F.lit(0))).alias("n_months")
+    return totals.select(*keys, *means, "n_obs", "last_date", n_months)
 
 
 def month_means(total: Callable[[int], Column], count: Callable[[int], Column]) -> list[Column]:

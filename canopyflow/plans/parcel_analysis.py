@@ -16,8 +16,10 @@ from canopyflow.sources.pixels import selected_pixels, window_totals
 
 
 def length_status(profile: DataFrame) -> DataFrame:
-    """Reason columns for series too short to analyse or to calibrate with."""
-    return profile.withColumn("n_months", months_present()).withColumns({
+    """Reason columns for series too short to analyse or to calibrate with; months are
+    counted where the profile does not bring their number."""
+    known = profile if "n_months" in profile.columns else profile.withColumn("n_months", months_present())
+    return known.withColumns({
         "analysis_reason": F.when(F.col("n_obs") < K.MIN_DATES_ANALYSIS, F.lit("too_short")),
         "calibration_reason": F.when(F.col("n_obs") < K.MIN_DATES_CALIBRATION, F.lit("too_short"))
         .when(F.col("n_months") < K.MIN_MONTHS_SAMPLE, F.lit("few_months")),
