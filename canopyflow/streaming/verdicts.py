@@ -37,13 +37,20 @@ def _ordered(observations: DataFrame, keys: Sequence[str], tie_breaks: Sequence[
     return observations.select(*keys, *columns)
 
 
-def _month_totals(best: pd.DataFrame) -> tuple[list[int], list[int]]:
+def _month_totals(best: Sequence[tuple]) -> tuple[list[int], list[int]]:
     """Sums and counts of the values of one series by calendar month."""
-    known = best[best["_valued"] & (best["_day"] != NO_DAY)]
-    month = known["_day"].to_numpy("datetime64[D]").astype("datetime64[M]").astype(int) % 12
-    sums = np.zeros(12, np.int64)
-    np.add.at(sums, month, known["_value"].to_numpy(np.int64))
-    return sums.tolist(), np.bincount(month, minlength=12).tolist()
+    known = [(row[0], row[-1]) for row in best if row[-2] and row[0] != NO_DAY]
+    month = np.array([day for day, _ in known], "datetime64[D]").astype("datetime64[M]").astype(np.int64) % 12
+    sums, counts = [0] * 12, [0] * 12
+    for m, (_, value) in zip(month.tolist(), known):
+        sums[m] += value
+        counts[m] += 1
+    return sums, counts
+
+
+def _rank(row: tuple) -> tuple:
+    """What ranks the observations of a day; NaN comes behind all numbers."""
+    return tuple((v != v, 0 if v != v else v) for v in row[1:-2])
 
 
 def profile_stream(observations: DataFrame, keys: Sequence[str], tie_breaks: Sequence[str]) -> DataFrame:
@@ -60,22 +67,24 @@ def profile_stream(observations: DataFrame, keys: Sequence[str], tie_breaks: Seq
     rows = _ordered(observations, keys, tie_breaks)
     fields = [f for f in rows.schema.fields if f.name not in keys]
     names = [f.name for f in fields]
-    ranks = names[:-2]
     state_type = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in fields)
     key_fields = StructType([f for f in rows.schema.fields if f.name in keys])
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields),
                      f"{SUMS} array<bigint>, {COUNTS} array<bigint>, n_obs bigint, _last int"])
 
+    # a table of its own for each series would cost more than its few rows
     def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [batch[names] for batch in batches]
-        if state.exists:
-            kept = pd.DataFrame(dict(zip(names, state.get)))
-            parts.insert(0, kept.astype(parts[0].dtypes.to_dict()) if parts else kept)
-        best = pd.concat(parts).sort_values(ranks, kind="stable").drop_duplicates("_day")
-        state.update(tuple(best[name].tolist() for name in names))
-        sums, counts = _month_totals(best)
+        best = {row[0]: row for row in zip(*state.get)} if state.exists else {}
+        for batch in batches:
+            for row in zip(*(batch[name].tolist() for name in names)):
+                kept = best.get(row[0])
+                if kept is None or _rank(row) < _rank(kept):
+                    best[row[0]] = row
+        ordered = [best[day] for day in sorted(best)]
+        state.update(tuple(map(list, zip(*ordered))))
+        sums, counts = _month_totals(ordered)
         yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, SUMS: [sums], COUNTS: [counts],
-                            "n_obs": [len(best)], "_last": [int(best["_day"].max())]})
+                            "n_obs": [len(ordered)], "_last": [ordered[-1][0]]})
 
     totals = rows.groupBy(*keys).applyInPandasWithState(merge, out, state_type, "update", GroupStateTimeout.NoTimeout)
     last = F.when(F.col("_last") != NO_DAY, F.date_from_unix_date("_last")).alias("last_date")

@@ -171,3 +171,12 @@ def test_snapshot_batch_can_be_repeated(spark, tmp_path):
     assert have() == [(1, "c"), (2, "b"), (3, None)]
     put(2)
     assert have() == [(1, "c"), (2, "b"), (3, None)]
+
+
+def test_state_of_a_series_needs_no_table(spark):
+    """Ties within a day, in any order: NaN comes last, the first of equal rows stays."""
+    from canopyflow.streaming import verdicts
+    rows = [(3, 1.0, True, float("nan"), True, 7), (3, 1.0, True, 2.0, True, 5), (3, 0.5, False, 0.0, True, 9)]
+    assert sorted(rows, key=verdicts._rank) == [rows[2], rows[1], rows[0]]
+    sums, counts = verdicts._month_totals([(verdicts.NO_DAY, 0.0, True, 4), (-1, 0.0, True, 4), (0, 0.0, False, 0), (31, 0.0, True, 6)])
+    assert (sums[11], sums[1], counts) == (4, 6, [0, 1, *[0] * 9, 1])
