@@ -74,11 +74,16 @@ SELECT stats.* EXCLUDE (image_id), image_id || '.png' AS file, glcm_contrast, gl
 def a18_files(spark, sf):
     """The file form of the features, over photos put together from the pixel table."""
     colour = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in ("b", "g", "r")])
-    cell = F.struct((F.col("y") * 7 + F.col("x") - 1).cast("int"), colour)
-    photos = V.photo_pixels(spark, sf).groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(64 * 7 - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit("000000")))
+    # cells in their order, each with the black ones before it
+    black, size = "000000", 64 * 7
+    cell = F.when(F.col("x").between(1, 7) & F.col("y").between(0, 63), F.struct(
+        (F.col("y") * 7 + F.col("x") - 1).cast("int").alias("at"), F.coalesce(colour, F.lit(black)).alias("colour")))
+    photos = (V.photo_pixels(spark, sf).where("image_id IS NOT NULL").groupBy(*KEYS)
+              .agg(F.sort_array(F.collect_list(cell)).alias("cells")))
+    data = F.expr(f"""concat(array_join(transform(cells, (c, i) -> concat(repeat('{black}', c.at - 1 -
+        CASE WHEN i = 0 THEN -1 ELSE cells[i - 1].at END), c.colour)), ''), repeat('{black}', {size - 1} - coalesce(try_element_at(cells, -1).at, -1)))""")
     files = photos.select("class", F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("file"), F.lit(64).alias("height"),
-                          F.lit(7).alias("width"), F.lit(3).alias("n_channels"), F.unhex(F.array_join(data, "")).alias("data"))
+                          F.lit(7).alias("width"), F.lit(3).alias("n_channels"), F.unhex(data).alias("data"))
     return images.file_features(files)
 
 
