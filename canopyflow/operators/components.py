@@ -3,7 +3,9 @@
 Every round replaces the neighbours of a node by links to the smallest node it
 knows, once towards larger neighbours and once towards smaller ones.  The edge
 set shrinks to one star per component in a number of rounds that grows with the
-logarithm of the longest path.
+logarithm of the longest path.  Edges and labels are merged where they lie: their
+files are small enough to be broadcast in every round, which would send each one
+through the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def _with_smallest(edges: DataFrame, keys: Sequence[str], n_edges: int) -> DataF
     node = [*keys, "u"]
     smallest = edges.groupBy(*node).agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("degree"))
     if n_edges <= MIN_HOT_ROWS:
-        return edges.join(smallest.drop("degree"), node)
+        return edges.join(smallest.drop("degree").hint("merge"), node)
     hubs = smallest.where(F.col("degree") > max(n_edges // HOT_SHARE, MIN_HOT_ROWS))
     return salted_join(edges, smallest.drop("degree"), node, ["v"], hubs.select(*node))
 
@@ -71,5 +73,5 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
         else:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         labels = current.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
-        return cut_lineage(nodes.join(labels, [*keys, "node"], "left")
+        return cut_lineage(nodes.join(labels.hint("merge"), [*keys, "node"], "left")
                            .withColumn("label", F.coalesce("root", "node")).drop("root"))

@@ -81,7 +81,7 @@ def _touching(runs: DataFrame, keys: Sequence[str], diagonal: bool, cols: Sequen
     upper = runs.select(*keys, F.col("py"), *[F.col(c).alias(f"{c}_a") for c in ("x0", "x1", *cols)])
     lower = runs.select(*keys, (F.col("py") - 1).alias("py"), *[F.col(c).alias(f"{c}_b") for c in ("x0", "x1", *cols)])
     meet = (F.col("x0_a") <= F.col("x1_b") + reach) & (F.col("x0_b") <= F.col("x1_a") + reach)
-    return upper.join(lower, [*keys, "py"]).where(meet)
+    return upper.join(lower.hint("merge"), [*keys, "py"]).where(meet)
 
 
 def label_regions(runs: DataFrame, keys: Sequence[str] = tuple(MASK), diagonal: bool = False) -> DataFrame:
@@ -117,13 +117,13 @@ def sieve(runs: DataFrame, grids: DataFrame, min_area_ha: float, keys: Sequence[
 
     vertical = _touching(labelled, keys, True, ["region_id", "value"]).where(F.col("value_a") != F.col("value_b"))
     beside = labelled.select(*keys, "py", (F.col("x1") + 1).alias("x"), F.col("region_id").alias("region_id_a")).join(
-        labelled.select(*keys, "py", F.col("x0").alias("x"), F.col("region_id").alias("region_id_b")), [*keys, "py", "x"])
+        labelled.select(*keys, "py", F.col("x0").alias("x"), F.col("region_id").alias("region_id_b")).hint("merge"), [*keys, "py", "x"])
     pairs = (vertical.select(*keys, "region_id_a", "region_id_b")
              .unionByName(beside.select(*keys, "region_id_a", "region_id_b")))
     both = pairs.select(*keys, F.inline(F.array(
         F.struct(F.col("region_id_a").alias("region_id"), F.col("region_id_b").alias("other")),
         F.struct(F.col("region_id_b").alias("region_id"), F.col("region_id_a").alias("other"))))).distinct()
-    around = both.join(small.select(*node), node, "left_semi")
+    around = both.join(small.select(*node).hint("merge"), node, "left_semi")
     # the background touches most specks, so its key is hot
     other_sizes = sizes.select(*keys, F.col("region_id").alias("other"), F.col("n_px").alias("other_px"), "small")
     ranked = skew_join(around, other_sizes, [*keys, "other"], spread=["region_id"])
@@ -134,19 +134,19 @@ def sieve(runs: DataFrame, grids: DataFrame, min_area_ha: float, keys: Sequence[
 
     # follow the choices: every round doubles the distance looked ahead
     mutual = target.alias("t").join(
-        target.select(*keys, F.col("region_id").alias("target"), F.col("target").alias("back")), [*keys, "target"], "left")
+        target.select(*keys, F.col("region_id").alias("target"), F.col("target").alias("back")).hint("merge"), [*keys, "target"], "left")
     target = cut_lineage(mutual.select(
         *node, F.when(F.col("back") == F.col("region_id"), F.col("region_id")).otherwise(F.col("target")).alias("target"),
         (F.col("done") | F.coalesce(F.col("back") == F.col("region_id"), F.lit(False))).alias("done")))
     while not target.where(~F.col("done")).isEmpty():
         ahead = target.select(*keys, F.col("region_id").alias("target"), F.col("target").alias("next"),
                               F.col("done").alias("next_done"))
-        target = cut_lineage(target.join(ahead, [*keys, "target"], "left").select(
+        target = cut_lineage(target.join(ahead.hint("merge"), [*keys, "target"], "left").select(
             *node, F.when(F.col("done"), F.col("target")).otherwise(F.coalesce("next", "target")).alias("target"),
             (F.col("done") | F.coalesce("next_done", F.lit(True))).alias("done")))
 
     # only two values exist, so it is enough to know the value of the final region
-    ends = target.join(sizes.select(*keys, F.col("region_id").alias("target"), F.col("value").alias("new_value")),
+    ends = target.join(sizes.select(*keys, F.col("region_id").alias("target"), F.col("value").alias("new_value")).hint("merge"),
                        [*keys, "target"])
     recoded = skew_join(labelled, ends.select(*node, "new_value"), node, spread=["py", "x0"], how="left")
     kept = recoded.where(F.coalesce("new_value", "value") == 1)

@@ -248,3 +248,13 @@ def test_superpixels_equal_brute_force_and_vote(spark):
     assert sum((y, x) in cells for y in range(2, 24) for x in range(17, 30)) >= 22 * 13 - moved
     kept, off = superpixels.refine(mask, allowed, frame.where("px < 0"))
     assert off.first().method == "off" and kept.count() == mask.count()
+
+
+def test_joins_of_runs_and_edges_pass_the_driver_by(spark):
+    from canopyflow.operators import components, skew
+    runs = spark.createDataFrame([(1, "a", 0, 0, 3), (1, "a", 1, 2, 5)], "parcel_id long, class string, py long, x0 long, x1 long")
+    edges = spark.createDataFrame([(1, 2, 1), (1, 3, 1)], "parcel_id long, u long, v long")
+    salted = skew.salted_join(edges, edges.select("parcel_id", "u").distinct(), ["parcel_id", "u"], ["v"], edges.select("parcel_id", "u").limit(0))
+    for df, rows in ((regions._touching(runs, regions.MASK, False, []), 1), (components._with_smallest(edges, ["parcel_id"], 2), 2), (salted, 2)):
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == rows
