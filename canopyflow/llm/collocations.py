@@ -34,7 +34,9 @@ STEP_BYTES = 8_000_000
 #: Cells of a partial stripe; a longer one is sent in parts.
 STRIPE_CELLS = 4096
 #: Cells that a task adds up before it sends them on.
-HELD_CELLS = 600_000
+HELD_CELLS = 1_000_000
+#: Tasks that build stripes: so many for each core, or more, of so many bytes of text.
+TASKS_PER_CORE, TASK_BYTES = 2, 512_000_000
 CELL = ["size", "lang", "prefix", "word", "n"]
 #: Buckets by bytes of text, as powers of two; they are summed in ``SEGMENTS`` parts.
 BYTES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 128, 1 << 16, 1 << 30
@@ -168,10 +170,15 @@ def full_buckets(docs: DataFrame, sizes: range, buckets: int, filters: dict[int,
     return out.ravel()
 
 
-def partial_stripes(docs: DataFrame, longest: int, buckets: int, filters: dict[int, np.ndarray]) -> DataFrame:
+def partial_stripes(docs: DataFrame, longest: int, buckets: int, filters: dict[int, np.ndarray], size: int = 0) -> DataFrame:
     """Stripes ``size, lang, prefix, words, counts`` of each task over ``docs(text, lang)``,
-    in several parts if it has over ``HELD_CELLS`` cells; size 0 has the number of words."""
-    known = docs.sparkSession.sparkContext.broadcast(filters)
+    in several parts if it has over ``HELD_CELLS`` cells; size 0 has the number of words.
+
+    Most tasks meet most of the frequent phrases, and a longer text has more of both:
+    a task for each input split would send their product.  So tasks follow the cores,
+    and add up several splits each."""
+    spark = docs.sparkSession.sparkContext
+    known, docs = spark.broadcast(filters), docs.coalesce(max(TASKS_PER_CORE * spark.defaultParallelism, -(-size // TASK_BYTES)))
 
     def striped(steps):
         held = []
@@ -195,19 +202,23 @@ def merged(stripes: DataFrame) -> DataFrame:
     return cells.groupBy("size", "lang", "prefix", "word").agg(F.sum("n").alias("n"))
 
 
-def buckets_for(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def buckets_for(size: int) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (size // BYTES_PER_BUCKET).bit_length()))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``cells(lang, phrase, size, a)`` of all phrases of one to ``longest`` words with
     ``a >= least``, and ``totals(lang, n)``, the words of each language."""
-    buckets, filters = buckets_for(docs), {}
+    size, filters = text_bytes(docs), {}
+    buckets = buckets_for(size)
     for sizes in (range(1, 3), *(range(k, k + 1) for k in range(3, longest + 1))):
         bits = full_buckets(docs, sizes, buckets, filters, least)
         filters = filters | dict.fromkeys(sizes, bits)
-    cells = stored(merged(partial_stripes(docs, longest, buckets, filters)).where((F.col("n") >= least) | (F.col("size") == 0)), "stripes")
+    cells = stored(merged(partial_stripes(docs, longest, buckets, filters, size)).where((F.col("n") >= least) | (F.col("size") == 0)), "stripes")
     phrase = F.when(F.col("size") == 1, F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
     return (cells.where("size > 0").select("lang", phrase.alias("phrase"), "size", F.col("n").alias("a")),
             cells.where("size = 0").select("lang", "n"))

@@ -93,6 +93,17 @@ def test_buckets_drop_rare_phrases_only(odd):
     assert passed.where("size > 0").count() < every.where("size > 0").count() // 4
 
 
+def test_splits_do_not_multiply_cells(odd):
+    """Partial stripes follow the cores, not the splits of the input."""
+    def cells(stripes):
+        return stripes.selectExpr("sum(size(words)) AS n").first().n
+
+    few, many = (collocations.partial_stripes(odd.repartition(n), 2, 1 << 16, {}, 1000) for n in (1, 64))
+    assert many.rdd.getNumPartitions() <= 2 * odd.sparkSession.sparkContext.defaultParallelism
+    assert cells(many) <= 16 * cells(few)
+    assert sorted(map(tuple, collocations.merged(many).collect())) == sorted(map(tuple, collocations.merged(few).collect()))
+
+
 def divergence_by_hand(rows, least_docs, top):
     docs, counts, groups = defaultdict(Counter), defaultdict(Counter), set()
     for _, text, lang, source, *_ in rows:
