@@ -11,13 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyflow.operators.components import connected_components
+from canopyflow.operators.components import connected_components, contracted
 from canopyflow.operators.skew import skew_join
 from canopyflow.session import cut_lineage
 
 MASK = ["parcel_id", "class"]
 # cell numbers stay unique inside a grid whatever its width
 ROW_STRIDE = 1 << 20
+#: Rows whose runs are linked inside a task before the rounds begin.
+ROW_BLOCK = 64
 
 
 def cell_number(x: Column | str, y: Column | str) -> Column:
@@ -90,8 +92,10 @@ def label_regions(runs: DataFrame, keys: Sequence[str] = tuple(MASK), diagonal:
     # runs are read several times, so they are written once
     numbered = cut_lineage(valued.withColumn("node", cell_number("x0", "py")))
     pairs = _touching(numbered, keys, diagonal, ["node", "value"]).where(F.col("value_a") == F.col("value_b"))
-    edges = pairs.select(*keys, F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    labelled = connected_components(numbered, edges, keys).withColumnRenamed("label", "region_id").drop("node")
+    block = F.floor(F.col("py") / ROW_BLOCK).alias("block")
+    edges = (pairs.select(*keys, block, F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+             .repartition(*keys, "block").sortWithinPartitions(*keys, "block"))
+    labelled = connected_components(numbered, contracted(edges, keys), keys).withColumnRenamed("label", "region_id").drop("node")
     return labelled if "value" in runs.columns else labelled.drop("value")
 
 

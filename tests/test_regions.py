@@ -258,3 +258,34 @@ def test_joins_of_runs_and_edges_pass_the_driver_by(spark):
     for df, rows in ((regions._touching(runs, regions.MASK, False, []), 1), (components._with_smallest(edges, ["parcel_id"], 2), 2), (salted, 2)):
         assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
         assert df.count() == rows
+
+
+def test_edges_of_a_task_become_stars(spark, monkeypatch):
+    """Runs of a snake are linked inside tasks, so that the rounds find one star and no path."""
+    rows = [(p, k, 7 * i, 7 * i + 7) for p in ("x", None) for k in (1, 2) for i in range(50)] + [("y", 1, 3, 3)]
+    edges = spark.createDataFrame(rows, "p string, k int, a bigint, b bigint").coalesce(1)
+    stars = {tuple(r) for r in components.contracted(edges, ["p", "k"]).collect()}
+    assert stars == {(p, k, 7 * i, 0) for p in ("x", None) for k in (1, 2) for i in range(1, 51)}
+
+    snake = np.zeros((41, 9), bool)
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    found, whole = [], regions.connected_components
+
+    def watched(nodes, links, keys):
+        found.append(links.cache())
+        return whole(nodes, links, keys)
+
+    monkeypatch.setattr(regions, "connected_components", watched)
+    labelled = regions.label_regions(regions.row_runs(mask_frame(spark, [snake])))
+    assert [r.region_id for r in labelled.select("region_id").distinct().collect()] == [0]
+    assert {r.b for r in found[0].collect()} == {0}
+
+
+def test_stars_of_parts_join_into_the_same_regions(spark, monkeypatch):
+    monkeypatch.setattr(components, "HELD_EDGES", 3)
+    monkeypatch.setattr(regions, "ROW_BLOCK", 2)
+    mask = np.random.default_rng(5).random((23, 17)) < 0.6
+    labelled = regions.label_regions(regions.row_runs(mask_frame(spark, [mask])))
+    got = {(r.py, x): r.region_id for r in labelled.collect() for x in range(r.x0, r.x1 + 1)}
+    assert got == flood(mask, False)
