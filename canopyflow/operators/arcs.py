@@ -31,6 +31,17 @@ RINGS_TYPE = "array<array<array<double>>>"
 _RINGS = pa.list_(pa.list_(pa.list_(pa.float64())))
 
 
+def tile_labels(code: np.ndarray, row: np.ndarray, x0: np.ndarray, x1: np.ndarray, tile: int) -> np.ndarray:
+    """Labels of a tile, with their frame, from runs counted from its upper left; cells
+    beyond all runs are left out, as they have no sides."""
+    size = int(min(tile, max(1, row.max() + 2, x1.max() + 2)))
+    labels = np.full((size + 2, size + 2), -1, np.int64)
+    for c, y, a, b in zip(code, row + 1, x0 + 1, x1 + 1):
+        if 0 <= y < size + 2:
+            labels[y, max(0, a):max(0, b + 1)] = c
+    return labels
+
+
 def trace(labels: np.ndarray):
     """Arcs of one tile as ``(corners, steps, right, left)``.
 
@@ -148,11 +159,7 @@ def tile_arcs(labelled: DataFrame, grids: DataFrame, layer: Sequence[str], regio
         top = group.iloc[0]
         x, y = int(top.tx) * tile, int(top.ty) * tile
         code, names = pd.factorize(pd.MultiIndex.from_frame(group[list(region)]), sort=True)
-        labels = np.full((tile + 2, tile + 2), -1, np.int64)
-        for c, row, x0, x1 in zip(code, group.py - y + 1, group.x0 - x + 1, group.x1 - x + 1):
-            if 0 <= row < tile + 2:
-                labels[row, max(0, x0):max(0, x1 + 1)] = c
-        arcs, others = trace(labels)
+        arcs, others = trace(tile_labels(code, (group.py - y).to_numpy(), (group.x0 - x).to_numpy(), (group.x1 - x).to_numpy(), tile))
         pairs = Counter(frozenset(map(tuple, corners[[0, -1]].tolist())) for corners, *_ in arcs)
         out = []
         for corners, (first, last), right, left in arcs:

@@ -127,3 +127,20 @@ def test_regions_are_joined_in_batches(spark):
     rings = arcs.outlined(runs, frames, ["parcel_id"], ["class", "region_id"], None)
     assert "MapInArrow" in plan_of(rings)
     assert {(r["class"], r.region_id): r.ring_cells for r in rings.collect()} == {("a", 0): [1], ("b", 1): [1], ("a", 2): [4]}
+
+
+def test_tiles_are_as_large_as_their_runs():
+    """A small raster costs its own cells, and has the arcs it has in a whole tile."""
+    rng = np.random.default_rng(3)
+    for height, width in [(1, 1), (4, 9), (20, 25), (63, 3), (64, 64)]:
+        cells = rng.integers(0, 3, (height, width))
+        at = [(cells[y, x], y, x, x) for y in range(height) for x in range(width) if cells[y, x]]
+        code, row, x0, x1 = np.array(at or [(0, 0, 0, 0)]).T
+        labels = arcs.tile_labels(code, row, x0, x1, 64)
+        assert labels.shape[0] == labels.shape[1] <= min(66, max(height, width) + 3)
+        full = np.full((66, 66), -1)
+        full[row + 1, x0 + 1] = code
+        (found, corners), (want, every) = arcs.trace(labels), arcs.trace(full)
+        assert (corners == every).all() and len(found) == len(want)
+        for a, b in zip(found, want):
+            assert (a[0] == b[0]).all() and a[1:] == b[1:]
